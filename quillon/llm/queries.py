@@ -22,6 +22,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -46,6 +52,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_bpe import piece_digests
+
+    return piece_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(PIECES))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import assemble, read_records, write_warc
 
@@ -65,9 +77,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
         "op6_url_filter": op6_url_filter,
+        "op9_piece_bpe": op9_piece_bpe,
         "op10_warc": op10_warc,
     }
 
