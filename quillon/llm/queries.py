@@ -52,6 +52,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_bpe import piece_digests
 
@@ -81,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
         "op6_url_filter": op6_url_filter,
+        "op7_decontaminate": op7_decontaminate,
         "op9_piece_bpe": op9_piece_bpe,
         "op10_warc": op10_warc,
     }
