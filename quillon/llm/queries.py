@@ -59,6 +59,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_bpe import piece_digests
 
@@ -89,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op6_url_filter": op6_url_filter,
         "op7_decontaminate": op7_decontaminate,
+        "op8_toxicity": op8_toxicity,
         "op9_piece_bpe": op9_piece_bpe,
         "op10_warc": op10_warc,
     }

@@ -89,15 +89,19 @@ class WordHasher:
         text = np.searchsorted(starts, begin, "right") - 1
         return mix(raw + (end - begin).astype(U64)), text
 
-    def prefixes(self, data: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
-        """As ``group``, and further for each length the hashes of words cut to so many bytes."""
+    def features(self, data: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Of adjacent texts: hashes of all words, and for each length of the
+        beginnings of so many bytes of longer words; and the text of each."""
         begin, end, raw, sums = self._raw(data, starts)
         text = np.searchsorted(starts, begin, "right") - 1
-        out = [mix(raw + (end - begin).astype(U64))]
+        size = end - begin
+        hashes, texts = [mix(raw + size.astype(U64))], [text]
         for n in lengths:
-            cut = np.minimum(end, begin + n)
-            out.append(mix((sums[cut] - sums[begin]) * self.inverse[begin] + U64(n << 32)))
-        return out, text
+            longer = np.flatnonzero(size > n)
+            at = begin[longer]
+            hashes.append(mix((sums[at + n] - sums[at]) * self.inverse[at] + U64(n << 32)))
+            texts.append(text[longer])
+        return np.concatenate(hashes), np.concatenate(texts)
 
     def long(self, data: np.ndarray) -> np.ndarray:
         """Hashes of the words of one text of any size; words may cross slices."""
@@ -164,3 +168,16 @@ def shingles(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, n
         total = total + words[j : n + j] * _PLACE[j]
     whole = np.flatnonzero(text[:n] == text[k - 1 :])
     return mix(total[whole] + _SHORT[k % 8]), whole
+
+
+def cut(data: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of at most SLICE bytes, cut where a word ends (or
+    inside a word that is longer than a piece)."""
+    at = 0
+    while at < len(data):
+        end = min(at + SLICE, len(data))
+        if end < len(data):
+            ends = np.flatnonzero(separators[data[at:end]])
+            end = at + int(ends[-1]) + 1 if len(ends) else end
+        yield data[at:end]
+        at = end
