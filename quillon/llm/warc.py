@@ -22,6 +22,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
     "capture string, kind string, record_id string, uri string, digest string, page_id long, "
-    "refers_to long, payload_length long, payload binary"
+    "refers_to long, payload_length long, payload_sha1 string, payload binary"
 )
 
 
@@ -142,21 +143,23 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def _fields(headers: dict[str, str], block: bytes) -> tuple:
     kind = headers["warc-type"]
     own = headers["warc-record-id"]
-    page = refers = length = payload = None
+    page = refers = length = sha1 = payload = None
     if kind == "metadata":
         about = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if x)
         page, refers, length = (int(about[k]) if about.get(k) else None for k in ("page", "refers-to-page", "payload-length"))
     elif kind in ("response", "request"):
         payload = block.partition(b"\r\n\r\n")[2]
+        if kind == "response":
+            length, sha1 = len(payload), hashlib.sha1(payload).hexdigest()
     return (
         headers.get("warc-concurrent-to", own), kind, own, headers.get("warc-target-uri"),
-        headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, page, refers, length, payload,
+        headers.get("warc-payload-digest", "").removeprefix("sha1:") or None, page, refers, length, sha1, payload,
     )
 
 
 def read_records(spark, path: str) -> DataFrame:
     """One row per record of the archives below ``path``."""
-    kinds = [pa.string()] * 5 + [pa.int64()] * 3 + [pa.binary()]
+    kinds = [pa.string()] * 5 + [pa.int64()] * 3 + [pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +179,17 @@ def read_records(spark, path: str) -> DataFrame:
     return files.select("content").mapInArrow(parse, RECORD_SCHEMA)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, payload: bool = True) -> DataFrame:
     """One nested row per capture: its records meet by the identifier that
-    request and metadata are concurrent to."""
+    request and metadata are concurrent to. Without ``payload`` only what was
+    measured of it while reading (length and SHA-1) travels to the others."""
 
     def one(kinds: list[str], *fields: str) -> Column:
         return F.first(F.when(F.col("kind").isin(kinds), F.struct(*fields)), ignorenulls=True)
 
+    response = ["record_id", "kind", "uri", "digest", "payload_length", "payload_sha1", *["payload"] * payload]
     return records.groupBy("capture").agg(
         one(["request"], "record_id", "uri").alias("request"),
-        one(["response", "revisit"], "record_id", "kind", "uri", "digest", "payload").alias("response"),
+        one(["response", "revisit"], *response).alias("response"),
         one(["metadata"], "record_id", "page_id", "refers_to", "payload_length").alias("metadata"),
     )
