@@ -52,6 +52,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(rows, path, pattern), path, pattern)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_chat_format": op4_chat_format,
+        "op5_ngram_join": op5_ngram_join,
         "op6_url_filter": op6_url_filter,
         "op7_decontaminate": op7_decontaminate,
         "op8_toxicity": op8_toxicity,

@@ -33,3 +33,34 @@ def line_dedup(docs: list[tuple[int, str]], min_words: int) -> dict[int, str]:
                     break
         out[d] = "".join(u for k, u in enumerate(cut[d]) if k not in drop)
     return out
+
+
+def word_set(text: str | None) -> frozenset[tuple[str, ...]]:
+    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", folded)
+    if 0 < len(words) < 5:
+        return frozenset([tuple(words)])
+    return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+
+
+def jaccard_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """doc_id to (size of its set, smallest doc_id of its component)."""
+    sets = {d: word_set(t) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(d: int) -> int:
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    lists: dict[tuple[str, ...], list[int]] = {}
+    for d in sorted(sets):
+        near = {o for shingle in sets[d] for o in lists.get(shingle, [])}
+        for o in near:
+            both = len(sets[d] & sets[o])
+            if 100 * both >= 75 * len(sets[d] | sets[o]):
+                a, b = find(d), find(o)
+                root[max(a, b)] = min(a, b)
+        for shingle in sets[d]:
+            lists.setdefault(shingle, []).append(d)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
