@@ -132,18 +132,30 @@ class Items:
         return covered[top], self.ids[top], [self.ids[n] for n in sorted(covered) if covered[n] >= least]
 
 
+class Tiler:
+    """Finds the items of texts; one for each task."""
+
+    def __init__(self, rows: list[tuple[int, str]], seed_words: int, min_coverage: float) -> None:
+        self.items, self.hasher, self.least = Items(rows, seed_words), WordHasher(MARKS, latin=True), min_coverage
+
+    def column(self, texts: pa.Array) -> list[tuple[float, int | None, list[int]]]:
+        """Best coverage, its item, and all items that reach the limit, of each text."""
+        found: list[tuple[float, int | None, list[int]]] = [(0.0, None, [])] * len(texts)
+        for first, count, words, text in self.hasher.column(texts):
+            seeds = list(self.items.seeds(words, text))
+            edges = np.searchsorted(text, np.arange(count + 1))
+            for doc in np.unique(np.concatenate([text[places] for _, places, _ in seeds] or [np.zeros(0, np.int64)])).tolist():
+                a, b = edges[doc], edges[doc + 1]
+                own = [(k, p[h] - a, r[h]) for k, p, r in seeds if (h := (p >= a) & (p < b)).any()]
+                found[first + doc] = self.items.best(words[a:b], own, self.least)
+        return found
+
+
 def _pass(docs: DataFrame, rows: list[tuple[int, str]], seed_words: int, min_coverage: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hasher = Items(rows, seed_words), WordHasher(MARKS, latin=True)
+        tiler = Tiler(rows, seed_words, min_coverage)
         for batch in batches:
-            found: list[tuple[float, int | None, list[int]]] = [(0.0, None, [])] * batch.num_rows
-            for first, count, words, text in hasher.column(batch.column(1)):
-                seeds = list(items.seeds(words, text))
-                edges = np.searchsorted(text, np.arange(count + 1))
-                for doc in np.unique(np.concatenate([text[places] for _, places, _ in seeds] or [np.zeros(0, np.int64)])).tolist():
-                    a, b = edges[doc], edges[doc + 1]
-                    own = [(k, p[h] - a, r[h]) for k, p, r in seeds if (h := (p >= a) & (p < b)).any()]
-                    found[first + doc] = items.best(words[a:b], own, min_coverage)
+            found = tiler.column(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -158,6 +170,12 @@ def _pass(docs: DataFrame, rows: list[tuple[int, str]], seed_words: int, min_cov
     return docs.mapInArrow(run, SCHEMA)
 
 
+def _items(items: DataFrame) -> tuple[DataFrame, int]:
+    """The items, and an upper bound of the bytes that they take on the driver."""
+    items = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return items, items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -168,8 +186,7 @@ def decontaminate(
     """doc_id, contaminated, coverage, item_id and items for every row of
     ``docs`` (doc_id, text), against ``items`` (item_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    items = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    items, size = _items(items)
     if size <= block_bytes:
         return _pass(docs, [tuple(r) for r in items.collect()], seed_words, min_coverage)
     # Rows need a number of their own for the passes to meet again.
@@ -186,3 +203,28 @@ def decontaminate(
     return docs.select("row", F.col("doc_id").alias("id")).join(best, F.col("row") == F.col("doc_id")).select(
         F.col("id").alias("doc_id"), (F.size("items") > 0).alias("contaminated"), "coverage", "item_id", "items"
     )
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    seed_words: int = SEED_WORDS,
+    min_coverage: float = MIN_COVERAGE,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` (any columns, with text) without contamination, as
+    they are; a pass for each block of items, without a shuffle."""
+    items, size = _items(items)
+    blocks = 1 if size <= block_bytes else 2 * (size // block_bytes + 1)
+    at = docs.columns.index("text")
+    for k in range(blocks):
+        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
+            tiler = Tiler(rows, seed_words, min_coverage)
+            for batch in batches:
+                yield batch.filter(pa.array([not x for _, _, x in tiler.column(batch.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        docs = materialize(docs, "clean") if k + 1 < blocks else docs
+    return docs

@@ -47,8 +47,9 @@ def units(text: Column) -> Column:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text): ``doc`` is a small number, unique, in order of doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    """(doc, doc_id, text, rest): ``doc`` is a small number, unique, in order of
+    doc_id; ``rest`` has all columns of the row as they were."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.struct("*").alias("rest"))
     odd = F.col("doc_id").isNull() | (F.col("doc_id") < 0) | (F.col("doc_id") >= MAX_ID)
     ids = docs.select("doc_id", odd.cast("int").alias("odd")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("odd").alias("odd"))
     if ids.filter("n > 1 OR odd = 1").isEmpty():
@@ -59,7 +60,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return rows.join(parts, "part").select((F.col("before") + F.col("place")).alias("doc"), "doc_id", "text")
+    return rows.join(parts, "part").select((F.col("before") + F.col("place")).alias("doc"), "doc_id", "text", "rest")
 
 
 def _named(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -155,9 +156,8 @@ def _without(all_units: Column, cuts: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), piece), "")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text without later copies, n_removed (units) and cuts (runs of
-    units that went) for every row of ``docs`` (doc_id, text)."""
+def _cut_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text, new_text, n_removed, cuts, rest)"""
     rows = _numbered(docs)
     cuts = later_copies(rows.select("doc", "text"), min_words)
     joined = rows.join(cuts, "doc", "left")
@@ -165,7 +165,23 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     removed = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + c["end"] - c["start"])
     return joined.select(
         "doc_id",
-        F.when(F.col("cuts").isNull(), F.col("text")).otherwise(_without(F.col("units"), F.col("cuts"))).alias("text"),
+        "text",
+        F.when(F.col("cuts").isNull(), F.col("text")).otherwise(_without(F.col("units"), F.col("cuts"))).alias("new_text"),
         F.coalesce(removed, F.lit(0)).alias("n_removed"),
         F.coalesce("cuts", F.array().cast("array<struct<start:int,end:int>>")).alias("cuts"),
+        "rest",
     )
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text without later copies, n_removed (units) and cuts (runs of
+    units that went) for every row of ``docs`` (doc_id, text)."""
+    rows = _cut_rows(docs.select("doc_id", "text"), min_words)
+    return rows.select("doc_id", F.col("new_text").alias("text"), "n_removed", "cuts")
+
+
+def drop_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` (any columns) with the new text in place of text;
+    rows of which nothing but white space is left by the cuts go."""
+    rows = _cut_rows(docs, min_words).filter("n_removed = 0 OR length(trim(translate(new_text, '\\n\\r\\t', '   '))) > 0")
+    return rows.select(*[F.col("new_text").alias(c) if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -243,3 +243,18 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
     return rows.mapInArrow(run, SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (any columns, with text) that score below the
+    threshold, as they are; one pass without a shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.zeros(batch.num_rows)
+            for first, count, rows, features in text_features(batch.column(at)):
+                scores[first : first + count] = model.score(count, rows, features)
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
