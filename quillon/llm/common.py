@@ -46,10 +46,12 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: this cuts the
-    lineage, and survives lost executors."""
+    lineage, and survives lost executors. The shuffle files behind it are then
+    of no more use; the driver's garbage collection lets Spark remove them."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """Removal of repeated line runs with a suffix structure made by prefix doubling.
 
-A text is a sequence of units: lines, cut further after each sentence end, as
-passages are often pasted into the middle of a line. Units get integer IDs and
+A text is a sequence of units: lines, cut further after each full stop with
+space behind it, as passages are often pasted into the middle of a line. Units get integer IDs and
 prefix doubling names every run of 1, 2, 4, ... units: the name of a run is the
 smallest position where it occurs, so two runs of one length are equal exactly
 if their names are. A run that occurs once is dropped at once, as all longer
@@ -37,8 +37,8 @@ from .common import materialize
 MIN_WORDS = 25
 STRIDE = 1 << 24
 MAX_ID = 1 << 39
-#: A unit ends after a line break, or after a sentence end and the space behind it.
-UNIT = r"(?s).+?(?:\n|[.!?][^\p{L}\p{N}\s]*[ \t]+|\z)"
+#: A unit ends after a line break, or after a full stop (other marks may follow) and the space behind it.
+UNIT = r"(?s).+?(?:\n|[.][^\p{L}\p{N}\s]*[ \t]+|\z)"
 
 
 def units(text: Column) -> Column:
@@ -70,79 +70,89 @@ def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(names, key)
 
 
-def run_names(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos, k, name, words, first, last): the repeated runs of 2**k units
-    at each position, their words, and those of their first and last unit.
-    ``docs`` has doc and text. Longer runs than ``min_words`` needs are left out."""
+def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
+    """``rows`` (doc, pos, name, words) of stretches of adjacent repeated units
+    with ``min_words`` words or more, with the shortest run of that many words
+    that begins (ahead) and the one that ends (behind) at each unit: its number
+    of units and words."""
+    order = Window.partitionBy("doc").orderBy("pos")
+    rows = rows.withColumns({"stretch": F.col("pos") - F.row_number().over(order), "upto": F.sum("words").over(order)})
+    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
+    whole = Window.partitionBy("doc", "stretch")
+    ahead = whole.orderBy("before").rangeBetween(0, min_words - 1)
+    behind = whole.orderBy("upto").rangeBetween(1 - min_words, 0)
+    rows = rows.withColumn("all_words", F.sum("words").over(whole)).filter(F.col("all_words") >= min_words)
+    return rows.select(
+        "doc",
+        "pos",
+        "name",
+        "words",
+        F.count(F.lit(1)).over(ahead).cast("int").alias("n_ahead"),
+        F.sum("words").over(ahead).alias("words_ahead"),
+        F.count(F.lit(1)).over(behind).cast("int").alias("n_behind"),
+        F.sum("words").over(behind).alias("words_behind"),
+    )
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``_stretches`` of the units of ``docs`` (doc, text) that occur more than once."""
     cut = docs.select("doc", F.posexplode(units(F.col("text"))).alias("pos", "unit"))
     cut = cut.withColumn("unit", F.trim(F.translate("unit", "\n\r\t", "   ")))
     words = (F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) + 1).cast("int")
     rows = cut.select("doc", "pos", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), words.alias("words"))
-    level = _named(rows, ["h1", "h2"]).select("doc", "pos", "name", "words", F.col("words").alias("first"), F.col("words").alias("last"))
-    level = materialize(level, "runs")
-    levels, k = [level.withColumn("k", F.lit(0))], 0
-    while 2 << k <= min_words:
-        left = level.select("doc", "pos", F.col("name").alias("a"), F.col("words").alias("words_a"), "first")
-        right = level.select("doc", (F.col("pos") - (1 << k)).alias("pos"), F.col("name").alias("b"), F.col("words").alias("words_b"), "last")
-        pairs = left.join(right, ["doc", "pos"]).withColumn("words", F.col("words_a") + F.col("words_b"))
+    return _stretches(_named(rows, ["h1", "h2"]).select("doc", "pos", "name", "words"), min_words)
+
+
+def run_names(level: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, pos, k, name): the repeated runs of 2**k units at each position,
+    from those of one unit (doc, pos, name, words). Longer runs than
+    ``min_words`` needs are left out."""
+    level = level.select("doc", "pos", "name", "words", F.col("words").alias("first"), F.col("words").alias("last"))
+    out, k = level.select("doc", "pos", F.lit(0).alias("k"), "name"), 0
+    while 2 << k <= min_words and not level.isEmpty():
+        # The run that begins where this one ends.
+        after = Window.partitionBy("doc").orderBy("pos").rangeBetween(1 << k, 1 << k)
+        pairs = level.withColumns(
+            {"b": F.first("name").over(after), "words_b": F.first("words").over(after), "last": F.first("last").over(after)}
+        )
+        pairs = pairs.filter("b is not null").withColumn("words", F.col("words") + F.col("words_b")).withColumnRenamed("name", "a")
         # Else a shorter run has min_words already, whichever end it keeps.
         pairs = pairs.filter(F.col("words") - F.greatest("first", "last") < min_words)
         level = materialize(_named(pairs, ["a", "b"]).select("doc", "pos", "name", "words", "first", "last"), "runs")
         k += 1
-        levels.append(level.withColumn("k", F.lit(k)))
-        if level.isEmpty():
-            break
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.unionByName(one)
+        out = out.unionByName(level.select("doc", "pos", F.lit(k).alias("k"), "name"))
     return out
 
 
 def _candidates(level0: DataFrame, min_words: int) -> DataFrame:
-    """(doc, pos, length): at each repeated unit the shortest stretch of
-    repeated units that begins, or ends, there and has ``min_words`` words."""
-    order = Window.partitionBy("doc").orderBy("pos")
-    rows = level0.withColumns(
-        {"stretch": F.col("pos") - F.row_number().over(order), "upto": F.sum("words").over(order)}
-    ).withColumn("before", F.col("upto") - F.col("words"))
-    ahead = Window.partitionBy("doc", "stretch").orderBy("before").rangeBetween(0, min_words - 1)
-    behind = Window.partitionBy("doc", "stretch").orderBy("upto").rangeBetween(1 - min_words, 0)
-    rows = rows.withColumns(
-        {
-            "n_ahead": F.count(F.lit(1)).over(ahead),
-            "words_ahead": F.sum("words").over(ahead),
-            "n_behind": F.count(F.lit(1)).over(behind),
-            "words_behind": F.sum("words").over(behind),
-        }
-    )
+    """(doc, pos, length): the shortest runs of ``min_words`` words that begin or end at a repeated unit."""
     ends = F.array(
-        F.struct(F.col("pos").alias("pos"), F.col("n_ahead").cast("int").alias("length"), F.col("words_ahead").alias("words")),
-        F.struct(
-            (F.col("pos") - F.col("n_behind") + 1).cast("int").alias("pos"),
-            F.col("n_behind").cast("int").alias("length"),
-            F.col("words_behind").alias("words"),
-        ),
+        F.struct(F.col("pos").alias("pos"), F.col("n_ahead").alias("length"), F.col("words_ahead").alias("words")),
+        F.struct((F.col("pos") - F.col("n_behind") + 1).alias("pos"), F.col("n_behind").alias("length"), F.col("words_behind").alias("words")),
     )
-    return rows.select("doc", F.inline(F.array_distinct(ends))).filter(F.col("words") >= min_words).select("doc", "pos", "length").distinct()
+    return level0.select("doc", F.inline(F.array_distinct(ends))).filter(F.col("words") >= min_words).select("doc", "pos", "length")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, cuts): sorted disjoint [start, end) runs of units to delete. ``docs`` has doc and text."""
-    names = run_names(docs, min_words)
-    runs = _candidates(names.filter("k = 0").select("doc", "pos", "words"), min_words)
+    level0 = materialize(repeated_units(docs, min_words), "units")
+    alone = level0.filter((F.col("words") >= min_words) & (F.col("name") < F.col("doc") * STRIDE + F.col("pos")))
+    alone = alone.select("doc", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
+    names = run_names(level0.select("doc", "pos", "name", "words"), min_words)
+    runs = _candidates(level0, min_words).filter("length > 1").distinct()
     runs = runs.withColumn("k", F.floor(F.log2(F.col("length") + 0.5)).cast("int"))
     runs = runs.withColumn("second", F.expr("pos + length - shiftleft(1, k)"))
-    name = names.select("doc", "pos", "k", "name")
+    name = names.filter("k > 0")
     runs = runs.join(name.withColumnRenamed("name", "a"), ["doc", "pos", "k"])
     runs = runs.join(name.select("doc", F.col("pos").alias("second"), "k", F.col("name").alias("b")), ["doc", "second", "k"])
-    found = _named(runs.select("doc", "pos", "length", "a", "b"), ["a", "b", "length"])
+    found = _named(materialize(runs.select("doc", "pos", "length", "a", "b"), "candidates"), ["a", "b", "length"])
     found = found.filter(F.col("name") < F.col("doc") * STRIDE + F.col("pos"))
-    found = found.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end"))
+    found = found.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end")).unionByName(alone)
     order = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("opens", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
     found = found.withColumn("cut", F.sum("opens").over(order)).groupBy("doc", "cut").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    return materialize(found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")), "cuts")
 
 
 def _without(all_units: Column, cuts: Column) -> Column:
@@ -183,5 +193,5 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` (any columns) with the new text in place of text;
     rows of which nothing but white space is left by the cuts go."""
-    rows = _cut_rows(docs, min_words).filter("n_removed = 0 OR length(trim(translate(new_text, '\\n\\r\\t', '   '))) > 0")
+    rows = _cut_rows(docs, min_words).filter((F.col("n_removed") == 0) | (F.length(F.btrim("new_text", F.lit(" \n\r\t"))) > 0))
     return rows.select(*[F.col("new_text").alias(c) if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
