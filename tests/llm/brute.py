@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import re
 
-UNIT = re.compile(r"(?s).+?(?:\n|[.!?](?:(?!\w|\s).|_)*[ \t]+|\Z)")
+BREAK = re.compile(r"(?<!\A)(?:\n|[.](?:(?!\w|\s).|_)*\s)\s*+(?!\Z)")
 
 
 def units(text: str) -> list[str]:
-    return UNIT.findall(text)
+    ends = [m.end() for m in BREAK.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
 
 
 def line_dedup(docs: list[tuple[int, str]], min_words: int) -> dict[int, str]:
     """Delete every unit in a run of ``min_words`` words that occurs at an earlier place."""
     docs = sorted(docs)
     cut = {d: units(t or "") for d, t in docs}
-    plain = {d: [re.sub(r"[\n\r\t]", " ", u).strip(" ") for u in us] for d, us in cut.items()}
+    plain = {d: [u.strip(" \n\r\t") for u in us] for d, us in cut.items()}
     seen: set[tuple[str, ...]] = set()
     out = {}
     for d, _ in docs:
@@ -64,3 +65,21 @@ def jaccard_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[in
         for shingle in sets[d]:
             lists.setdefault(shingle, []).append(d)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def tiling(doc: list[str], item: list[str], least: int) -> int:
+    """Greedy string tiling by its definition: words of the item covered by tiles."""
+    used_doc, used_item = [False] * len(doc), [False] * len(item)
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not used_doc[i + n] and not used_item[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, j, i)
+        if best[0] < least:
+            return sum(used_item)
+        for x in range(best[0]):
+            used_item[best[1] + x] = used_doc[best[2] + x] = True
