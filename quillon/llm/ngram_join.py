@@ -4,8 +4,9 @@ A document is its set of distinct word shingles. Documents with one set are one
 class; what follows is between classes.
 
 1. Inverted lists. Shingles have a total order: those frequent in the corpus
-   (found as frequent in a slice of documents; this only decides the order)
-   come last, the rest by hash. Two sets with a Jaccard value of 3/4 share one
+   come last, the rest by hash. Which are called frequent only decides the
+   order: those that are in a slice of documents, and those that are listed
+   more than ``MOVE`` times when lists are made to be counted only. Two sets with a Jaccard value of 3/4 share one
    of the first n - ceil(3n/4) + 1 shingles of either, so only those are
    listed, with the set's size. The rows are dealt by shingle and stream by in
    order of size.
@@ -51,12 +52,14 @@ from .wordhash import WordHasher, shingles
 WORDS = 5
 #: The limit of the contract: 100 * intersection >= 75 * union.
 PERCENT = 75
-SHORT = 48
+SHORT = 128
+#: Shingles listed more often come last in the order; lists are counted SURVEYS times for that.
+MOVE, SURVEYS = 16, 2
 BLOCK_TOKENS = 1_000_000
 #: Shingles in this share of documents and above may come last in the order.
 FREQUENT = 0.0005
 #: So many of them at most (the most frequent): they go to every task.
-MAX_FREQUENT = 400_000
+MAX_FREQUENT = 1_000_000
 #: A slice of documents in which shingles are counted has so many shingles.
 SLICE_TOKENS, SLICE_COUNT = 2_000_000, 4
 #: Sets that all blocks of a large cluster get.
@@ -263,7 +266,8 @@ def candidates(rows: DataFrame) -> DataFrame:
             if token_open is not None and int(token[0]) != token_open:
                 before = None
             for k in np.flatnonzero(size[:-1] > SHORT).tolist() + ([0] if before is not None and len(first) > 1 and size[0] <= SHORT else []):
-                lists.long(n[first[k] : first[k] + size[k]], c[first[k] : first[k] + size[k]], before if k == 0 else None)
+                span = slice(first[k], first[k] + size[k])
+                lists.long(n[span], c[span], before if k == 0 else None)
             small = (size[:-1] > 1) & (size[:-1] <= SHORT)
             if before is not None and len(first) > 1:
                 small[0] = False
@@ -372,17 +376,24 @@ class Search:
 BLOCK_SCHEMA = "cluster long, block long, query boolean, label long, class long, tokens binary"
 
 
+MEMBER_SCHEMA = "cluster long, blocks long, block long, shared boolean, class long, tokens binary"
+
+
 def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(class, tokens) for the members (class, rep), from the text of ``rep``."""
+    """MEMBER_SCHEMA: the members, each with its set from the text of ``rep``."""
+    names = [x.split()[0] for x in MEMBER_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            sets = [s.tobytes() for part in word_sets(batch.column(1), hasher) for s in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["class", "tokens"])
+            sets = [s for part in word_sets(batch.column(len(names) - 1), hasher) for s in part]
+            rows = [*(batch.column(k) for k in range(len(names) - 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
+            # Another text may have the same doc_id.
+            own = [_class(s) == c for s, c in zip(sets, batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(rows, names).filter(pa.array(own, pa.bool_()))
 
-    own = docs.join(members.select(F.col("rep").alias("doc_id"), "class"), "doc_id")
-    return own.select("class", "text").mapInArrow(run, "class long, tokens binary")
+    own = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
+    return own.select(*names[:-1], "text").mapInArrow(run, MEMBER_SCHEMA)
 
 
 def block_links(rows: DataFrame) -> DataFrame:
@@ -418,6 +429,13 @@ def block_links(rows: DataFrame) -> DataFrame:
     return ordered.sortWithinPartitions("cluster", "block", "query", "class").mapInArrow(run, LINK_SCHEMA)
 
 
+def _tokens(often: DataFrame) -> np.ndarray:
+    """Sorted shingles of (token, count): all, or the MAX_FREQUENT most frequent.
+    Those left out only come earlier in the order; no result depends on it."""
+    own = often.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token").toArrow()
+    return np.sort(own.column(0).to_numpy().view(np.uint64))
+
+
 def ngram_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links lead
     to) for every row of ``docs`` (doc_id, text)."""
@@ -427,8 +445,10 @@ def ngram_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataF
     often = first.filter("kind = 1").groupBy("token").agg(F.sum("count").alias("count"))
     least = max(2.0, FREQUENT * sets.count())
     # At most average size / FREQUENT shingles are as frequent as that, at any number of documents.
-    often = often.filter(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token")
-    frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+    frequent = _tokens(often.filter(F.col("count") >= least))
+    for _ in range(SURVEYS):
+        counted = inverted_rows(docs, frequent).select("token").groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+        frequent = np.union1d(frequent, _tokens(materialize(counted.filter(F.col("count") > MOVE), "long-lists")))
 
     pairs = candidates(inverted_rows(docs, frequent)).groupBy("a", "b").agg(
         F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"),
@@ -451,9 +471,7 @@ def ngram_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataF
     members = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     every = F.greatest((F.col("sets") / SHARED_SETS).cast("long"), F.lit(1))
     shared = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), every) == 0)
-    members = materialize(
-        members.withColumn("shared", shared).join(_with_sets(docs, members.select("class", "rep")), "class"), "member-sets"
-    )
+    members = materialize(_with_sets(docs, members.withColumn("shared", shared)), "member-sets")
     no = F.lit(False).alias("query"), F.lit(0).cast("long").alias("label")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     rows = members.filter("not shared").select("cluster", "block", *no, "class", "tokens")
