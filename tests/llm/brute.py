@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-BREAK = re.compile(r"(?<!\A)(?:\n|[.](?:(?!\w|\s).|_)*\s)\s*+(?!\Z)")
+BREAK = re.compile(r"[\n.](?<!\A[\n.])(?:(?<=\n)|(?:(?!\w|\s).|_)*\s)\s*+(?!\Z)")
 
 
 def units(text: str) -> list[str]:
