@@ -90,12 +90,13 @@ class LabelModel:
 
 
 def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> LabelModel:
-    """EM from first guesses ``start`` of the class. ``votes``: rows x voters, 0 or 1."""
+    """EM from first guesses ``start`` of the class, whose mean is taken for
+    the class balance throughout. ``votes``: rows x voters, 0 or 1."""
     votes = votes.astype(np.float32)
     belief = start.astype(np.float32)
+    balance = float(np.clip(belief.mean(), 1e-3, 1 - 1e-3))
     model = None
     for _ in range(rounds):
-        balance = float(np.clip(belief.mean(), 1e-3, 1 - 1e-3))
         on = [(votes.T @ b + 0.1) / (b.sum() + 1) for b in (1 - belief, belief)]
         rates = np.clip(np.stack(on, 1), 1e-4, 1 - 1e-4)
         # What is left of each vote, given the class, shows which voters go together.
