@@ -392,7 +392,8 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             own = [_class(s) == c for s, c in zip(sets, batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(rows, names).filter(pa.array(own, pa.bool_()))
 
-    own = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
+    # Not by broadcast, also where it would do: the members grow with the documents.
+    own = docs.join(members.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
     return own.select(*names[:-1], "text").mapInArrow(run, MEMBER_SCHEMA)
 
 
