@@ -29,6 +29,8 @@ refused; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +40,24 @@ MIN_WORDS = 25
 STRIDE = 1 << 24
 MAX_ID = 1 << 39
 #: A unit ends after a line break, or after a full stop (other marks may follow) and the space behind it.
-BREAK = r"(?<!\A)(?:\n|[.][^\p{L}\p{N}\s]*\s)\s*+(?!\z)"
-#: Marks the breaks; a text that holds it already is cut at the places between instead, which takes longer.
-MARK = "\x01"
+BREAK = r"[\n.](?<!\A[\n.])(?:(?<=\n)|[^\p{L}\p{N}\s]*\s)\s*+(?!\z)"
+#: One that is not in the text marks its breaks; a text with all of them is cut in another way, which takes longer.
+MARKS = ("\x01", "\x02", "\ue000")
 
 
 def units(text: Column) -> Column:
     """The units of a text; joined they are the text again."""
-    marked = F.split(F.regexp_replace(text, F.lit(BREAK), F.lit("$0" + MARK)), MARK)
-    unmarked = F.regexp_extract_all(text, F.lit(f"(?s).+?(?:{BREAK}|\\z)"), F.lit(0))
-    return F.when(F.contains(text, F.lit(MARK)), unmarked).otherwise(marked)
+    out = F.regexp_extract_all(text, F.lit(f"(?s).+?(?:{BREAK}|\\z)"), F.lit(0))
+    for mark in reversed(MARKS):
+        marked = F.split(F.regexp_replace(text, F.lit(BREAK), F.lit("$0" + mark)), mark)
+        out = F.when(F.contains(text, F.lit(mark)), out).otherwise(marked)
+    return out
+
+
+def _trimmed(unit: Column) -> Column:
+    """Without white space around; most units have but a space behind."""
+    odd = [f(unit, F.lit(c)) for c in "\n\r\t" for f in (F.endswith, F.startswith)]
+    return F.when(reduce(lambda a, b: a | b, odd), F.btrim(unit, F.lit(" \n\r\t"))).otherwise(F.trim(unit))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -101,8 +111,8 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``_stretches`` of the units of ``docs`` (doc, text) that occur more than once."""
     cut = docs.select("doc", F.posexplode(units(F.col("text"))).alias("pos", "unit"))
-    cut = cut.withColumn("unit", F.btrim("unit", F.lit(" \n\r\t")))
-    words = (F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) + 1).cast("int")
+    cut = cut.withColumn("unit", _trimmed(F.col("unit")))
+    words = (F.octet_length("unit") - F.octet_length(F.replace("unit", F.lit(" "), F.lit(""))) + 1).cast("int")
     rows = cut.select("doc", "pos", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), words.alias("words"))
     return _stretches(_named(rows, ["h1", "h2"]).select("doc", "pos", "name", "words"), min_words)
 
