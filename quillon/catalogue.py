@@ -295,7 +295,7 @@ def ddl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Engine(spark)
     _, name = _own_table(spark, "test")
     own.execute(f"CREATE TABLE {name} (a INTEGER, b DOUBLE, c STRING) AS HEAP")
-    own.tables.add(name, compose(spark, ["1|10.1|Sanjay", "2|20.2|Suprith"], own.tables.attributes(name)))
+    own.tables.add(name, compose(spark, ["1|10.1|first", "2|20.2|second"], own.tables.attributes(name)))
     return own.query(f"SELECT t.a, t.b, t.c FROM {name} AS t WHERE (t.a = t.a)")
 
 
@@ -359,7 +359,7 @@ OTHERS: dict[str, tuple[Query, str]] = {
         heap_append,
         "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 5",
     ),
-    "ddl_roundtrip": (ddl_roundtrip, "SELECT * FROM (VALUES (1, 10.1e0, 'Sanjay'), (2, 20.2e0, 'Suprith')) t(a, b, c)"),
+    "ddl_roundtrip": (ddl_roundtrip, "SELECT * FROM (VALUES (1, 10.1e0, 'first'), (2, 20.2e0, 'second')) t(a, b, c)"),
     "write_text": (
         write_text,
         "SELECT concat('n_nationkey:[', CAST(n_nationkey AS VARCHAR), '], n_name:[', n_name, ']') AS line FROM nation",

@@ -25,8 +25,8 @@ def rows(frame):
 
 
 def test_text_with_and_without_last_separator(spark, tmp_path):
-    (tmp_path / "t.tbl").write_text("1|10.1|Sanjay\n2|20.2|Suprith|\n\n")
-    assert rows(read_text(spark, str(tmp_path / "t.tbl"), ATTRIBUTES)) == [(1, 10.1, "Sanjay"), (2, 20.2, "Suprith")]
+    (tmp_path / "t.tbl").write_text("1|10.1|first\n2|20.2|second|\n\n")
+    assert rows(read_text(spark, str(tmp_path / "t.tbl"), ATTRIBUTES)) == [(1, 10.1, "first"), (2, 20.2, "second")]
 
 
 def test_bad_numbers(spark):
@@ -75,18 +75,18 @@ def test_heap_appends_and_sorted_merges(spark):
 
 
 def test_session(spark, tmp_path):
-    (tmp_path / "in.txt").write_text("1|10.1|Sanjay\n2|20.2|Suprith\n")
+    (tmp_path / "in.txt").write_text("1|10.1|first\n2|20.2|second\n")
     spark.sql("DROP TABLE IF EXISTS people")
     engine = Engine(spark, data_dir=str(tmp_path), statistics=Statistics())
     engine.execute("CREATE TABLE people (a INTEGER, b DOUBLE, c STRING) AS HEAP")
     engine.execute("INSERT 'in.txt' INTO people")
     select = "SELECT p.b, p.c FROM people AS p WHERE (p.a > 1)"
-    assert display(engine.execute(select).rows) == "Query Result :\nb: [20.2], c: [Suprith]\nTotal records: 1"
+    assert display(engine.execute(select).rows) == "Query Result :\nb: [20.2], c: [second]\nTotal records: 1"
     engine.execute("SET OUTPUT NONE")
     assert engine.execute(select).text.startswith("Project<-Select_File")
     engine.execute(f"SET OUTPUT '{tmp_path}/out'")
     assert engine.execute(select).text == "Total records: 1"
-    assert [r[0] for r in spark.read.text(f"{tmp_path}/out").collect()] == ["b:[20.200000], c:[Suprith]"]
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/out").collect()] == ["b:[20.200000], c:[second]"]
     with pytest.raises(ValueError):
         engine.execute("SET OUTPUT ELSEWHERE")
     engine.execute("DROP TABLE people")
