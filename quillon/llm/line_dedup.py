@@ -1,8 +1,8 @@
 """Removal of repeated line runs with a suffix structure made by prefix doubling.
 
-A text is a sequence of units: lines, cut further after each full stop with
-space behind it, as passages are often pasted into the middle of a line. Units get integer IDs and
-prefix doubling names every run of 1, 2, 4, ... units: the name of a run is the
+A text is a sequence of units: lines, cut further after each sentence end (full
+stop, '!', '?', ';' and an ellipsis with space behind, and their forms in other
+writing), as passages are often pasted into the middle of a line. Units get integer IDs and prefix doubling names every run of 1, 2, 4, ... units: the name of a run is the
 smallest position where it occurs, so two runs of one length are equal exactly
 if their names are. A run that occurs once is dropped at once, as all longer
 ones that begin with it are single, too; what stays are the branching nodes of
@@ -39,15 +39,21 @@ from .common import materialize
 MIN_WORDS = 25
 STRIDE = 1 << 24
 MAX_ID = 1 << 39
-#: A unit ends after a line break, or after a full stop (other marks may follow) and the space behind it.
-BREAK = r"[\n.](?<!\A[\n.])(?:(?<=\n)|[^\p{L}\p{N}\s]*\s)\s*+(?!\z)"
+#: White space, of all alphabets.
+SPACE = r"\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Sentence ends that need a space behind, and those of writing that needs none.
+STOPS = ".!?;\u2026"
+WIDE_STOPS = "\u3002\uff01\uff1f\uff1b\uff61\u061f\u06d4\u061b\u0964\u0965\u1362\u1367\u0589\u17d4\u104b"
+_SIGNS = rf"[^\p{{L}}\p{{N}}{SPACE}]{{0,64}}+"
+#: A unit ends after a line break, or after a sentence end (other marks may follow) and the space behind it.
+BREAK = rf"[\n{STOPS}{WIDE_STOPS}](?:(?<=\n)|(?<=[{WIDE_STOPS}]){_SIGNS}|{_SIGNS}[{SPACE}])[{SPACE}]*+(?!\z)"
 #: One that is not in the text marks its breaks; a text with all of them is cut in another way, which takes longer.
 MARKS = ("\x01", "\x02", "\ue000")
 
 
 def units(text: Column) -> Column:
     """The units of a text; joined they are the text again."""
-    out = F.regexp_extract_all(text, F.lit(f"(?s).+?(?:{BREAK}|\\z)"), F.lit(0))
+    out = F.regexp_extract_all(text, F.lit(f"(?s)(?=.).*?(?:{BREAK}|\\z)"), F.lit(0))
     for mark in reversed(MARKS):
         marked = F.split(F.regexp_replace(text, F.lit(BREAK), F.lit("$0" + mark)), mark)
         out = F.when(F.contains(text, F.lit(mark)), out).otherwise(marked)
