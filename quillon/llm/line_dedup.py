@@ -29,6 +29,7 @@ refused; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,12 +42,16 @@ STRIDE = 1 << 24
 MAX_ID = 1 << 39
 #: White space, of all alphabets.
 SPACE = r"\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c, re.ASCII))
 #: Sentence ends that need a space behind, and those of writing that needs none.
 STOPS = ".!?;\u2026"
 WIDE_STOPS = "\u3002\uff01\uff1f\uff1b\uff61\u061f\u06d4\u061b\u0964\u0965\u1362\u1367\u0589\u17d4\u104b"
 _SIGNS = rf"[^\p{{L}}\p{{N}}{SPACE}]{{0,64}}+"
 #: A unit ends after a line break, or after a sentence end (other marks may follow) and the space behind it.
 BREAK = rf"[\n{STOPS}{WIDE_STOPS}](?:(?<=\n)|(?<=[{WIDE_STOPS}]){_SIGNS}|{_SIGNS}[{SPACE}])[{SPACE}]*+(?!\z)"
+#: Letters of writing without spaces; each counts as a word.
+ALONE = r"\u0e01-\u0eff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}"
+WORD = rf"[{ALONE}]|[^{SPACE}{ALONE}]++"
 #: One that is not in the text marks its breaks; a text with all of them is cut in another way, which takes longer.
 MARKS = ("\x01", "\x02", "\ue000")
 
@@ -62,8 +67,17 @@ def units(text: Column) -> Column:
 
 def _trimmed(unit: Column) -> Column:
     """Without white space around; most units have but a space behind."""
-    odd = [f(unit, F.lit(c)) for c in "\n\r\t" for f in (F.endswith, F.startswith)]
-    return F.when(reduce(lambda a, b: a | b, odd), F.btrim(unit, F.lit(" \n\r\t"))).otherwise(F.trim(unit))
+    odd = [f(unit, F.lit(c)) for c in "\n\r\t\x0b\x0c" for f in (F.endswith, F.startswith)]
+    odd.append(F.octet_length(unit) != F.length(unit))
+    return F.when(reduce(lambda a, b: a | b, odd), F.btrim(unit, F.lit(SPACES))).otherwise(F.trim(unit))
+
+
+def n_words(unit: Column) -> Column:
+    """Maximal runs without white space. In ASCII with single blanks alone that is blanks + 1."""
+    blanks = F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
+    odd = [F.contains(unit, F.lit(c)) for c in ("  ", "\t", "\n", "\r", "\x0b", "\x0c")]
+    ends = [F.startswith(unit, F.lit(" ")), F.endswith(unit, F.lit(" ")), unit == "", F.octet_length(unit) != F.length(unit)]
+    return F.when(reduce(lambda a, b: a | b, odd + ends), F.regexp_count(unit, F.lit(WORD))).otherwise(blanks + 1).cast("int")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -117,9 +131,9 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``_stretches`` of the units of ``docs`` (doc, text) that occur more than once."""
     cut = docs.select("doc", F.posexplode(units(F.col("text"))).alias("pos", "unit"))
-    cut = cut.withColumn("unit", _trimmed(F.col("unit")))
-    words = (F.octet_length("unit") - F.octet_length(F.replace("unit", F.lit(" "), F.lit(""))) + 1).cast("int")
-    rows = cut.select("doc", "pos", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), words.alias("words"))
+    # A unit without words is white space before the first one.
+    cut = cut.withColumn("unit", _trimmed(F.col("unit"))).filter("unit != ''")
+    rows = cut.select("doc", "pos", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), n_words(F.col("unit")).alias("words"))
     return _stretches(_named(rows, ["h1", "h2"]).select("doc", "pos", "name", "words"), min_words)
 
 

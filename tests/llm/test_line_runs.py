@@ -33,3 +33,26 @@ def test_units_join_to_the_text(spark):
     rows = [("".join(rng.choice(signs) for _ in range(rng.randint(0, 40))),) for _ in range(400)] + [("." * 5000,), ("!-" * 9000 + "x",)]
     frame = spark.createDataFrame(rows, "text string")
     assert all("".join(r.u) == r.text for r in frame.select("text", line_dedup.units(frame["text"]).alias("u")).collect())
+
+
+def test_words_are_runs_without_white_space(spark):
+    odd = ["", "a", "a  b", "a\tb c", " a b ", "a" + chr(0xA0) + "b", chr(0x3000), "x\r\ny", chr(0x4E00) * 3 + "ab " + chr(0xE9), "\x0b", "a" + chr(0x2003) + "b."]
+    frame = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert [r.n for r in frame.select(line_dedup.n_words(frame.t).alias("n")).collect()] == [0, 1, 2, 3, 2, 2, 0, 2, 5, 0, 2]
+
+
+@pytest.mark.parametrize("space", ["\t", chr(0xA0), chr(0x2003), "  "])
+def test_repeated_lines_with_other_spaces(spark, space):
+    line = space.join(own(60, "w").split()) + "\n"
+    got = texts(spark, [(1, "a\n" + line + "b"), (2, "c\n" + line + "d")])
+    assert got == {1: "a\n" + line + "b", 2: "c\nd"}
+
+
+def test_blanks_are_no_words(spark):
+    docs = [(k, f"head {k}\nTotal" + " " * 30 + "12\nend") for k in (1, 2, 3)]
+    assert texts(spark, docs) == dict(docs)
+
+
+def test_letters_that_stand_alone_are_words(spark):
+    line = "".join(chr(0x4E00 + k) for k in range(60)) + WIDE[0]
+    assert texts(spark, [(1, "a. " + line), (2, "b. " + line)])[2] == "b. "
