@@ -2,7 +2,11 @@
 
 A text is a sequence of units: lines, cut further after each sentence end (full
 stop, '!', '?', ';' and an ellipsis with space behind, and their forms in other
-writing), as passages are often pasted into the middle of a line. Units get integer IDs and prefix doubling names every run of 1, 2, 4, ... units: the name of a run is the
+writing), as passages are often pasted into the middle of a line. Longer
+sentences are cut after the words with the least hash of each window of 13
+(half of ``min_words``), so that the cuts depend on the words around alone: of
+any 51 words (2 * ``min_words`` + 1) that occur at two places, 25 or more are
+whole units at both. Units get integer IDs and prefix doubling names every run of 1, 2, 4, ... units: the name of a run is the
 smallest position where it occurs, so two runs of one length are equal exactly
 if their names are. A run that occurs once is dropped at once, as all longer
 ones that begin with it are single, too; what stays are the branching nodes of
@@ -30,6 +34,7 @@ refused; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,8 +61,16 @@ WORD = rf"[{ALONE}]|[^{SPACE}{ALONE}]++"
 MARKS = ("\x01", "\x02", "\ue000")
 
 
-def units(text: Column) -> Column:
-    """The units of a text; joined they are the text again."""
+def n_words(unit: Column) -> Column:
+    """Maximal runs without white space. In ASCII with single blanks alone that is blanks + 1."""
+    blanks = F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
+    odd = [F.contains(unit, F.lit(c)) for c in ("  ", "\t", "\n", "\r", "\x0b", "\x0c")]
+    ends = [F.startswith(unit, F.lit(" ")), F.endswith(unit, F.lit(" ")), unit == "", F.octet_length(unit) != F.length(unit)]
+    return F.when(reduce(lambda a, b: a | b, odd + ends), F.regexp_count(unit, F.lit(WORD))).otherwise(blanks + 1).cast("int")
+
+
+def _sentences(text: Column) -> Column:
+    """Lines, cut at sentence ends; joined they are the text again."""
     out = F.regexp_extract_all(text, F.lit(f"(?s)(?=.).*?(?:{BREAK}|\\z)"), F.lit(0))
     for mark in reversed(MARKS):
         marked = F.split(F.regexp_replace(text, F.lit(BREAK), F.lit("$0" + mark)), mark)
@@ -65,6 +78,47 @@ def units(text: Column) -> Column:
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(sentence: Column, most: int) -> Column:
+    """A sentence of more than ``most`` words, cut after each word whose hash is
+    the least in some window of ``most`` words (the first of equal ones)."""
+
+    def cut(tokens: Column) -> Column:
+        def ends(hashes: Column) -> Column:
+            def least(at: Column) -> Column:
+                return _let(F.slice(hashes, at, most), lambda w: (at + F.array_position(w, F.array_min(w)) - 1).cast("int"))
+
+            inner = F.transform(F.sequence(F.lit(1), F.size(tokens) - most + 1), least)
+            return F.array_distinct(F.concat(F.array(F.lit(0)), inner, F.array(F.size(tokens))))
+
+        def pieces(at: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.size(at) - 1),
+                lambda k: F.array_join(F.slice(tokens, F.get(at, k - 1) + 1, F.get(at, k) - F.get(at, k - 1)), ""),
+            )
+
+        hashes = F.transform(tokens, lambda t: F.xxhash64(F.regexp_replace(t, F.lit(f"[{SPACE}]+"), F.lit(""))))
+        return _let(_let(hashes, ends), pieces)
+
+    return _let(F.regexp_extract_all(sentence, F.lit(f"[{SPACE}]*+(?:{WORD})[{SPACE}]*+"), F.lit(0)), cut)
+
+
+def _most(min_words: int) -> int:
+    """Of 2 * ``min_words`` + 1 words pasted anywhere, whole units hold ``min_words``
+    at least if each end loses so many words at most."""
+    return max((min_words + 2) // 2, 1)
+
+
+def units(text: Column, most: int = _most(MIN_WORDS)) -> Column:
+    """The units of a text; joined they are the text again. Every ``most`` words
+    in a row hold the end of a unit, and which one depends on these words alone."""
+    return F.flatten(F.transform(_sentences(text), lambda s: F.when(n_words(s) > most, _chunks(s, most)).otherwise(F.array(s))))
+
+
 def _trimmed(unit: Column) -> Column:
     """Without white space around; most units have but a space behind."""
     odd = [f(unit, F.lit(c)) for c in "\n\r\t\x0b\x0c" for f in (F.endswith, F.startswith)]
@@ -72,14 +126,6 @@ def _trimmed(unit: Column) -> Column:
     return F.when(reduce(lambda a, b: a | b, odd), F.btrim(unit, F.lit(SPACES))).otherwise(F.trim(unit))
 
 
-def n_words(unit: Column) -> Column:
-    """Maximal runs without white space. In ASCII with single blanks alone that is blanks + 1."""
-    blanks = F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
-    odd = [F.contains(unit, F.lit(c)) for c in ("  ", "\t", "\n", "\r", "\x0b", "\x0c")]
-    ends = [F.startswith(unit, F.lit(" ")), F.endswith(unit, F.lit(" ")), unit == "", F.octet_length(unit) != F.length(unit)]
-    return F.when(reduce(lambda a, b: a | b, odd + ends), F.regexp_count(unit, F.lit(WORD))).otherwise(blanks + 1).cast("int")
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, text, rest): ``doc`` is a small number, unique, in order of
     doc_id; ``rest`` has all columns of the row as they were."""
@@ -130,7 +176,7 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``_stretches`` of the units of ``docs`` (doc, text) that occur more than once."""
-    cut = docs.select("doc", F.posexplode(units(F.col("text"))).alias("pos", "unit"))
+    cut = docs.select("doc", F.posexplode(units(F.col("text"), _most(min_words))).alias("pos", "unit"))
     # A unit without words is white space before the first one.
     cut = cut.withColumn("unit", _trimmed(F.col("unit"))).filter("unit != ''")
     rows = cut.select("doc", "pos", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), n_words(F.col("unit")).alias("words"))
@@ -206,7 +252,7 @@ def _cut_rows(docs: DataFrame, min_words: int) -> DataFrame:
     cuts = later_copies(rows.select("doc", "text"), min_words)
     # Not by broadcast, also where it would do: the cuts grow with the documents.
     joined = rows.join(cuts.hint("merge"), "doc", "left")
-    joined = joined.withColumn("units", F.when(F.col("cuts").isNotNull(), units(F.col("text"))))
+    joined = joined.withColumn("units", F.when(F.col("cuts").isNotNull(), units(F.col("text"), _most(min_words))))
     removed = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + c["end"] - c["start"])
     return joined.select(
         "doc_id",

@@ -56,3 +56,58 @@ def test_blanks_are_no_words(spark):
 def test_letters_that_stand_alone_are_words(spark):
     line = "".join(chr(0x4E00 + k) for k in range(60)) + WIDE[0]
     assert texts(spark, [(1, "a. " + line), (2, "b. " + line)])[2] == "b. "
+
+
+def runs(text, n):
+    """(start, words) of the runs of ``n`` words."""
+    split = text.split()
+    return [(k, tuple(split[k : k + n])) for k in range(len(split) - n + 1)]
+
+
+def test_passages_of_51_to_60_words_at_any_place(spark):
+    rng = random.Random(6)
+    docs, pasted = [], []
+    for k in range(120):
+        size = 51 + k % 10
+        stops = {rng.randrange(size) for _ in range(rng.choice([0, 1, 3, 8]))}
+        passage = " ".join(f"p{k}w{rng.randrange(30)}" + ("." if j in stops else "") for j in range(size))
+        around = [" ".join(f"d{rng.randrange(10**9)}" for _ in range(rng.randint(0, 40))) for _ in range(4)]
+        docs += [(2 * k, f"{around[0]} {passage} {around[1]}"), (2 * k + 1, f"{around[2]} {passage} {around[3]}")]
+        pasted.append((size, around[2], around[3]))
+    got = texts(spark, docs)
+    for k, (size, before, after) in enumerate(pasted):
+        assert got[2 * k] == docs[2 * k][1]
+        left = got[2 * k + 1].split()
+        assert len(left) <= size - 25 + len(before.split()) + len(after.split())
+        assert left[: len(before.split())] == before.split() and left[len(left) - len(after.split()) :] == after.split()
+
+
+def test_all_long_runs_are_found_and_nothing_else_goes(spark):
+    """By word runs, without units: every later run of 2 n + 1 words loses n; each word that goes is in an earlier run of n."""
+    rng, n = random.Random(12), 6
+    pool = [[f"w{rng.randrange(25)}" + rng.choice(["", "", "", ".", "?"]) for _ in range(rng.randint(5, 40))] for _ in range(12)]
+    docs = []
+    for k in range(60):
+        split = [w for _ in range(rng.randint(1, 4)) for w in [*rng.choice(pool)[rng.randint(0, 4) :], *(f"f{rng.randrange(10**6)}" for _ in range(rng.randint(0, 5)))]]
+        docs.append((k, " ".join(split)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    cut = {r.doc_id: r for r in line_dedup.line_dedup(frame, n).collect()}
+    units = {r.doc_id: r.u for r in frame.select("doc_id", line_dedup.units(frame["text"], line_dedup._most(n)).alias("u")).collect()}
+    seen, many = {}, 0
+    for d, text in docs:
+        row, gone = cut[d], set()
+        edges = [0]
+        for unit in units[d]:
+            edges.append(edges[-1] + len(unit.split()))
+        for start, end in row.cuts:
+            gone |= set(range(edges[start], edges[end]))
+        assert row.text.split() == [w for k, w in enumerate(text.split()) if k not in gone]
+        for k, run in runs(text, n):
+            seen.setdefault(run, (d, k))
+        again = {j for k, run in runs(text, n) if seen[run] < (d, k) for j in range(k, k + n)}
+        assert gone <= again
+        for k, run in runs(text, 2 * n + 1):
+            if seen.setdefault(run, (d, k)) < (d, k):
+                assert len(gone & set(range(k, k + 2 * n + 1))) >= n
+                many += 1
+    assert many > 100
