@@ -177,6 +177,8 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``_stretches`` of the units of ``docs`` (doc, text) that occur more than once."""
     cut = docs.select("doc", F.posexplode(units(F.col("text"), _most(min_words))).alias("pos", "unit"))
+    refused = F.raise_error(F.lit(f"a text has more than {STRIDE} units")).cast("int")
+    cut = cut.withColumn("pos", F.when(F.col("pos") < STRIDE, F.col("pos")).otherwise(refused))
     # A unit without words is white space before the first one.
     cut = cut.withColumn("unit", _trimmed(F.col("unit"))).filter("unit != ''")
     rows = cut.select("doc", "pos", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), n_words(F.col("unit")).alias("words"))

@@ -111,3 +111,10 @@ def test_all_long_runs_are_found_and_nothing_else_goes(spark):
                 assert len(gone & set(range(k, k + 2 * n + 1))) >= n
                 many += 1
     assert many > 100
+
+
+def test_texts_of_too_many_units_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "STRIDE", 8)
+    assert texts(spark, [(1, "a\n" * 8)]) == {1: "a\n" * 8}
+    with pytest.raises(Exception, match="more than 8 units"):
+        texts(spark, [(1, "a\n" * 9)])
