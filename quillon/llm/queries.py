@@ -89,12 +89,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    captures = assemble(read_records(spark, path), payload=False)
+    captures = assemble(read_records(spark, path))
     revisit = F.col("response.kind") == "revisit"
     return captures.select(
         F.col("metadata.page_id").alias("page_id"),
-        F.when(revisit, F.col("metadata.payload_length")).otherwise(F.col("response.payload_length")).alias("payload_bytes"),
-        F.when(revisit, F.col("response.digest")).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
+        F.when(revisit, F.col("metadata.payload_length")).otherwise(F.length("response.payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("response.digest")).otherwise(F.sha1("response.payload")).alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
         F.col("metadata.refers_to").alias("refers_to"),
     )
