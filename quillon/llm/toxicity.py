@@ -9,8 +9,8 @@ of its own, as labels have errors. A linear classifier over hashed words and
 beginnings of words is then trained on the posterior labels, and scores texts.
 
 Fitting takes at most ``MAX_TRAIN`` labelled rows (those with the smallest hash
-of their id, so that any corpus gives a fair sample) and runs on the driver:
-MAX_TRAIN x MAX_FEATURES feature numbers at most. Rows that ``held_out`` names
+of their id, so that any corpus gives a fair sample), each with all its
+features, and runs on the driver. Rows that ``held_out`` names
 are never used. Scoring is one pass over whole texts, without a shuffle.
 
 Defined results: null text counts as empty and gets the score of a text without
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .wordhash import MARKS, SLICE, WordHasher, cut, groups
 
-#: Bounds of the fit: labelled rows, distinct features of a row, voters, weights.
-MAX_TRAIN, MAX_FEATURES, MAX_VOTERS, MAX_WEIGHTS = 6_000, 8_000, 200, 20_000
+#: Bounds of the fit: labelled rows, voters, weights.
+MAX_TRAIN, MAX_VOTERS, MAX_WEIGHTS = 6_000, 200, 20_000
 FEATURE_BITS = 22
 BEGINNINGS = (4, 5, 6, 8)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -218,9 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Class
             for first, count, rows, own in text_features(batch.column(1)):
                 edges = np.searchsorted(rows, np.arange(count + 1))
                 for k in range(count):
-                    one = own[edges[k] : edges[k + 1]]
-                    # A row of very many features gives those with the smallest numbers, which are random.
-                    out[first + k] = one[:MAX_FEATURES].astype(np.int32).tobytes()
+                    out[first + k] = own[edges[k] : edges[k + 1]].astype(np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["toxic", "features"])
 
     rows = texts.mapInArrow(features, "toxic int, features binary").collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import queries, warc
+from quillon.llm import queries, toxicity, warc
 
 
 def test_warc_query_assembles_payloads(spark, tmp_path, monkeypatch):
@@ -13,3 +13,13 @@ def test_warc_query_assembles_payloads(spark, tmp_path, monkeypatch):
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in queries.op10_warc(spark, str(tmp_path)).collect()}
     assert got == {1: (1200, "revisit", 2), 2: (1200, "response", None), 3: (0, "response", None), 4: (2, "response", None)}
     assert "payload" in seen[0].schema["response"].dataType.names
+
+
+def test_toxicity_fits_all_features_of_long_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"{(k * 9000 + j) * 7919:x}word" for j in range(9000))) for k in range(1, 9)], "doc_id long, text string")
+    given = []
+    monkeypatch.setattr(toxicity, "train", lambda rows: given.extend(rows))
+    toxicity.fit(docs, docs.selectExpr("doc_id", "1 AS toxic"))
+    texts = docs.filter(~toxicity.held_out(docs.doc_id)).select("text").toArrow().column(0).combine_chunks()
+    whole = [int((rows == k).sum()) for _, n, rows, _ in toxicity.text_features(texts) for k in range(n)]
+    assert sorted(len(f) for _, f in given) == sorted(whole) and min(whole) > 8000
