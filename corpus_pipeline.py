@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("SentencePiece encoding and decoding", piece_stage),
 ]
 
-#: SQL can express neither the classifier nor the tiling; tests/llm holds the stages against plain versions.
+#: SQL can express neither the classifier nor the tiling; tests/llm tests the operators, not these stages.
 ORACLE_SQL = None
 
 
