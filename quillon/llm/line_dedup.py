@@ -25,7 +25,7 @@ before the shuffle, and its rows meet only in joins, which AQE can split.
 Units are told apart by 96 hash bits.
 
 Defined results: null text has no units and stays null; a text whose units all
-go becomes empty; if doc_ids are null, repeated, negative or 2**39 and above,
+go becomes empty but for white space before its first word; if doc_ids are null, repeated, negative or 2**39 and above,
 the rows are numbered in order of doc_id and text first, and repeated rows then
 are documents that repeat each other; texts of more than 2**24 units are
 refused; an empty table gives an empty result; further columns are ignored.
