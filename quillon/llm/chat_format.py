@@ -8,10 +8,11 @@ loss mask comes from prefix sums of segment lengths.
 
 A turn is one output row and a conversation is its turns in order, with
 ``token_start`` as the running sum of tokens: a conversation of any length is
-never gathered in one row.
+never gathered in one row. Its digest alone is sequential: one task reads the
+turns of a conversation as they stream by.
 
 Defined results: null text or role counts as empty; turns with equal numbers
-are ordered by role and then by their ids; repeated rows are repeated turns; a
+are ordered by role and then by the SHA-256 of their text; repeated rows are repeated turns; a
 null conv_id is a conversation of its own; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -29,14 +30,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, SEPARATOR, CLOSE = "### ", ": ", "</turn>"
-#: Longer texts are encoded in pieces: the ids still decode to the same text.
-PIECE_CHARS = 100_000
-TURN_SCHEMA = "conv_id long, turn long, role string, input_ids array<int>, loss_mask array<tinyint>"
+#: Runs of more white space are split off before the tokenizer's pattern, which
+#: would need a stack frame for each character; the pattern splits there as well.
+MAX_BLANKS = 10_000
+TURN_SCHEMA = "conv_id long, turn long, role string, input_ids array<int>, loss_mask array<tinyint>, text_sha256 string"
 DIGEST_SCHEMA = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
     "loss_sha256 string, formatted_chars long, n_tokens long"
 )
 
+#: The Unicode property White_Space.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTROL = re.compile(r"(\\*)(### |</turn>)")
 _ESCAPED = re.compile(r"(\\+)(### |</turn>)")
 _ROLE_CONTROL = re.compile(r"(\\*)(### |</turn>|: )")
@@ -63,12 +67,19 @@ class Codec:
         self.encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         first = max(ranks.values()) + 1
         self.open, self.separator, self.close = first, first + 1, first + 2
+        self.blanks = re.compile(f"[{_BLANK}]{{{MAX_BLANKS + 1},}}")
 
     def encode(self, text: str) -> list[int]:
+        """The tokenizer's ids. Of a run of white space the pattern makes one
+        piece, but for the last character where something follows."""
         ids: list[int] = []
-        for at in range(0, len(text), PIECE_CHARS):
-            ids += self.encoding.encode_ordinary(text[at : at + PIECE_CHARS])
-        return ids
+        at = 0
+        for run in self.blanks.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            ids += self.encoding.encode_ordinary(text[at : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return ids + self.encoding.encode_ordinary(text[at:])
 
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and loss mask of one turn."""
@@ -98,14 +109,15 @@ class Codec:
 
 
 def format_turns(conversations: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
-    """One row per turn: conv_id, turn, role, input_ids, loss_mask, place (from
-    0) and token_start (tokens of the conversation before this turn)."""
+    """One row per turn: conv_id, turn, role, input_ids, loss_mask, text_sha256,
+    place (from 0) and token_start (tokens of the conversation before this turn)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer_path, pattern)
         for batch in batches:
             roles = [r or "" for r in batch.column(2).to_pylist()]
-            turns = [codec.turn(r, t or "") for r, t in zip(roles, batch.column(3).to_pylist(), strict=True)]
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            turns = [codec.turn(r, t) for r, t in zip(roles, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -113,12 +125,13 @@ def format_turns(conversations: DataFrame, tokenizer_path: str, pattern: str) ->
                     pa.array(roles, pa.string()),
                     pa.array([ids for ids, _ in turns], pa.list_(pa.int32())),
                     pa.array([mask for _, mask in turns], pa.list_(pa.int8())),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
                 ],
-                ["conv_id", "turn", "role", "input_ids", "loss_mask"],
+                ["conv_id", "turn", "role", "input_ids", "loss_mask", "text_sha256"],
             )
 
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "input_ids")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text_sha256")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.mapInArrow(encode, TURN_SCHEMA)

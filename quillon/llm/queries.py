@@ -49,7 +49,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(own, "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     path, pattern = tokenizer_path(TOKENS), public_tokenizers.PATTERN
-    return conversation_digests(format_turns(rows, path, pattern), path, pattern)
+    return conversation_digests(format_turns(rows, path, pattern), path, pattern).drop("n_tokens")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +134,9 @@ WITH c AS (
     length(regexp_replace(role, '(\\*)(### |</turn>|: )', '\1\1\\\2', 'g')) AS role_chars FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text))) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars + role_chars + 13) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import queries, toxicity, warc
+import glob
+import os
+import random
+
+import duckdb
+import pytest
+
+from quillon.llm import chat_format, queries, toxicity, warc
 
 
 def test_warc_query_assembles_payloads(spark, tmp_path, monkeypatch):
@@ -23,3 +30,46 @@ def test_toxicity_fits_all_features_of_long_rows(spark, monkeypatch):
     texts = docs.filter(~toxicity.held_out(docs.doc_id)).select("text").toArrow().column(0).combine_chunks()
     whole = [int((rows == k).sum()) for _, n, rows, _ in toxicity.text_features(texts) for k in range(n)]
     assert sorted(len(f) for _, f in given) == sorted(whole) and min(whole) > 8000
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_agree_with_their_sql(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}{'/*.parquet' * os.path.isdir(path)}'")
+    ours, theirs = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    order = [theirs.columns.index(c) for c in columns]
+    expected = sorted(str(tuple(r[k] for k in order)) for r in theirs.fetchall())
+    assert sorted(str(tuple(r[c] for c in columns)) for r in ours.collect()) == expected
+
+
+def test_chat_ties_are_ordered_alike(spark, tmp_path):
+    rows = [(1, 0, "user", t) for t in ("b", "a", None, "b", "é c")] + [(1, 0, None, "x"), (2, None, "assistant", "y"), (2, None, "assistant", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    theirs = con.sql(queries.OP4_SQL)
+    ours = queries.op4_chat_format(spark, str(tmp_path)).select(*theirs.columns)
+    assert sorted(map(str, map(tuple, ours.collect()))) == sorted(map(str, theirs.fetchall()))
+
+
+def test_chat_ids_are_the_tokenizers(monkeypatch):
+    import public_tokenizers
+
+    codec = chat_format.Codec(queries.tokenizer_path(queries.TOKENS), public_tokenizers.PATTERN)
+    plain = codec.encoding.encode_ordinary
+    rng = random.Random(4)
+    for text in ("x" * 100_042, "word " * 20_009, "".join(rng.choice("abcdefg") for _ in range(10**6)), "!" * 10**6, "a\n" * 500_000):
+        assert codec.encode(text) == plain(text)
+    blanks = codec.encode("a" + " " * 10**6 + "b")
+    assert codec.encoding.decode(blanks) == "a" + " " * 10**6 + "b"
+    monkeypatch.setattr(chat_format, "MAX_BLANKS", 3)
+    codec = chat_format.Codec(queries.tokenizer_path(queries.TOKENS), public_tokenizers.PATTERN)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", " ", "\n", "\t", "\xa0", "　", "a", "é", "!", "1", "'s"]) for _ in range(rng.randint(0, 30)))
+        assert codec.encode(text) == plain(text)
