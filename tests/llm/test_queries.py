@@ -9,7 +9,7 @@ import random
 import duckdb
 import pytest
 
-from quillon.llm import chat_format, queries, toxicity, warc
+from quillon.llm import chat_format, piece_bpe, queries, toxicity, warc
 
 
 def test_warc_query_assembles_payloads(spark, tmp_path, monkeypatch):
@@ -73,3 +73,21 @@ def test_chat_ids_are_the_tokenizers(monkeypatch):
     for _ in range(3000):
         text = "".join(rng.choice([" ", " ", "\n", "\t", "\xa0", "　", "a", "é", "!", "1", "'s"]) for _ in range(rng.randint(0, 30)))
         assert codec.encode(text) == plain(text)
+
+
+def test_pieces_do_not_depend_on_what_is_cached(monkeypatch):
+    model = queries.tokenizer_path(queries.PIECES)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeéß日\n▁\0") for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    expected = piece_bpe.PieceTable(model).model.encode(texts, add_eos=True)
+    for words, bits, probes, pairs, long in ((50, 6, 1, 2, 5), (10**6, 12, 8, 8, 200), (0, 21, 2, 20, 1)):
+        for name, value in (("WORDS", words), ("WORD_BITS", bits), ("PROBES", probes), ("PAIR_BITS", pairs), ("LONG", long)):
+            monkeypatch.setattr(piece_bpe, name, value)
+        table = piece_bpe.PieceTable(model)
+        for _ in range(2):
+            assert [ids for k in range(0, 300, 40) for ids, _ in table.encode_all(texts[k : k + 40])] == expected
+
+
+def test_piece_table_is_kept_by_process():
+    model = queries.tokenizer_path(queries.PIECES)
+    assert piece_bpe.piece_table(model) is piece_bpe.piece_table(model)
