@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
+from .cases import CASES
 from .plans.parser import parse_statement
 from .plans.planner import plan_string
 from .plans.statistics import Statistics
@@ -379,8 +380,8 @@ OTHERS: dict[str, tuple[Query, str]] = {
 
 
 def queries() -> dict[str, Query]:
-    return {name: _select(name) for name in SELECTS} | {name: query for name, (query, _) in OTHERS.items()}
+    return {name: _select(name) for name in SELECTS} | {name: query for name, (query, _) in (OTHERS | CASES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql, _) in SELECTS.items()} | {name: sql for name, (_, sql) in OTHERS.items()}
+    return {name: sql for name, (_, sql, _) in SELECTS.items()} | {name: sql for name, (_, sql) in (OTHERS | CASES).items()}

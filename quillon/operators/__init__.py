@@ -1,9 +1,11 @@
-"""Relational operators over DataFrames; all are lazy."""
+"""Relational operators over DataFrames; all but ``numbered`` and what uses it are lazy."""
 
 from .relational import (
     duplicate_removal,
     group_by,
     join,
+    numbered,
+    order_violations,
     ordered_union,
     positions,
     project,
@@ -20,6 +22,8 @@ __all__ = [
     "duplicate_removal",
     "group_by",
     "join",
+    "numbered",
+    "order_violations",
     "ordered_union",
     "positions",
     "project",

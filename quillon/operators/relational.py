@@ -1,8 +1,9 @@
 """The operators that the planner composes, usable by themselves.
 
 Conditions and functions are given as text of the dialect or as parsed trees.
-Nothing is executed here: Catalyst pushes predicates and columns into the scan,
-picks join strategies and aggregates partially before each shuffle.
+Nothing is executed here but for ``numbered``, which writes its rows: Catalyst
+pushes predicates and columns into the scan, picks join strategies and
+aggregates partially before each shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..functions.predicates import predicate
 from ..plans import ast
 from ..plans.binder import Scope
 from ..plans.parser import parse_cnf, parse_expression, parse_sort_keys
+from ..sources.files import shared_dir
 from ..types import DOUBLE, INTEGER, STRING, kind_of
 
 
@@ -85,24 +87,47 @@ def sort(rows: DataFrame, keys: str | Sequence[str], run_length: int = 1) -> Dat
     return rows.orderBy(*[scope.column(k).asc() for k in names])
 
 
-def positions(rows: DataFrame, keys: Sequence[str], buckets: int = 64) -> DataFrame:
-    """The rows with ``pos``: their place, from 1, in the order of ``keys``.
-    Ranges of the first key are numbered by themselves and then moved by the
-    rows before them, so no task sees all rows; bounds come from 1000 values."""
+def _keys(rows: DataFrame, keys: str | Sequence[str]) -> list[Column]:
     scope = Scope([rows])
-    first = scope.column(keys[0])
-    sample = rows.select(first.alias("key")).orderBy(F.xxhash64("key")).limit(1000).collect()
-    values = sorted(r[0] for r in sample if r[0] is not None)
-    bounds = sorted({values[k * len(values) // buckets] for k in range(1, buckets)}) if values else []
-    bucket = sum((F.coalesce((first >= F.lit(b)).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
-    dealt = rows.withColumn("_bucket", bucket)
-    counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # As many rows as buckets, so one task is enough.
-    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[scope.column(k) for k in keys]))
-    placed = dealt.withColumn("_place", place).join(F.broadcast(offsets), "_bucket")
-    return placed.withColumn("pos", (F.col("_before") + F.col("_place")).cast("long")).drop("_bucket", "_place", "_before")
+    return [scope.column(k) for k in (parse_sort_keys(keys) if isinstance(keys, str) else keys)]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``pos``: their place, from 1, in the order that they are in.
+    They are written to the shared folder with their place in their partition;
+    the partitions' sizes, a row each, then give the rest."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(rows.sparkSession))
+    placed = rows.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # A row for each partition: their number bounds what is broadcast.
+    out = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.withColumn("pos", (F.col("_before") + place + 1).cast("long")).drop("_part", "_at", "_before")
+
+
+def positions(rows: DataFrame, keys: str | Sequence[str], buckets: int | None = None) -> DataFrame:
+    """The rows with ``pos``: their place, from 1, in the order of ``keys``.
+    Rows are dealt by ranges of all keys and, where these are equal, of a number
+    of their own, so no value is too frequent for a task."""
+    own = _keys(rows, keys)
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranges = [*own, F.col("_tie")]
+    dealt = tied.repartitionByRange(buckets, *ranges) if buckets else tied.repartitionByRange(*ranges)
+    return numbered(dealt.sortWithinPartitions(*ranges).drop("_tie"))
+
+
+def order_violations(rows: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """One row: ``n``, the number of neighbours, in the order that the rows are in, that are out of order by ``keys``."""
+    placed = numbered(rows)
+    columns = [f"_k{k}" for k in range(len(_keys(rows, keys)))]
+    own = placed.select("pos", *[c.alias(n) for c, n in zip(_keys(placed, keys), columns, strict=True)])
+    after = own.select((F.col("pos") - 1).alias("pos"), *[F.col(c).alias(f"{c}_next") for c in columns])
+    wrong = F.struct(*columns) > F.struct(*[F.col(f"{c}_next").alias(c) for c in columns])
+    return own.join(after, "pos").filter(wrong).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sort_all(rows: DataFrame) -> DataFrame:

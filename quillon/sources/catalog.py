@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
 
+from . import files
 from ..types import CATALOG_NAMES, parse_type
 
 
@@ -33,7 +33,7 @@ def parse_catalog(text: str) -> dict[str, Entry]:
 
 
 def read_catalog(path: str) -> dict[str, Entry]:
-    return parse_catalog(Path(path).read_text())
+    return parse_catalog(files.read(path))
 
 
 def format_catalog(entries: dict[str, Entry]) -> str:
@@ -45,4 +45,4 @@ def format_catalog(entries: dict[str, Entry]) -> str:
 
 
 def write_catalog(entries: dict[str, Entry], path: str) -> None:
-    Path(path).write_text(format_catalog(entries))
+    files.write(path, format_catalog(entries))

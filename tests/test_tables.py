@@ -95,7 +95,7 @@ def test_session(spark, tmp_path):
 
 def test_command_line(spark, monkeypatch, capsys):
     monkeypatch.setattr(sys, "stdin", io.StringIO("\nnonsense\nSET OUTPUT STDOUT\nEXIT\nnever\n"))
-    session.main()
+    session.main([])
     shown = capsys.readouterr().out
     assert "error:" in shown and "Output STDOUT" in shown and "never" not in shown
 
