@@ -20,6 +20,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -223,17 +224,19 @@ class Pseudonyms:
         """The new text, and (kind, start, end) of each value by its place in the old one."""
         if not _ANY.search(text):
             return text, []
-        taken: list[tuple[int, int, str, str]] = []
+        taken: list[tuple[int, int, str, str]] = []  # in order, without overlaps
         for kind, pattern, permute in _PATTERNS:
             if kind == "email" and "@" not in text:
                 continue
+            starts, found = [t[0] for t in taken], []
             for m in pattern.finditer(text):
-                if any(m.start() < end and start < m.end() for start, end, _, _ in taken):
+                k = bisect_left(starts, m.end())
+                if k and taken[k - 1][1] > m.start():
                     continue
                 new = self.value(kind, permute, m[0], back)
                 if new is not None:
-                    taken.append((m.start(), m.end(), kind, new))
-        taken.sort()
+                    found.append((m.start(), m.end(), kind, new))
+            taken = sorted(taken + found) if found else taken
         out, at = [], 0
         for start, end, _, new in taken:
             out += [text[at:start], new]
