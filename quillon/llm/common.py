@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where it is unset (a local test) a temporary one is set."""
+    the session. Where it is unset a temporary one is set, if driver and
+    executors are one process (a local test), and else it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,13 +50,23 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: this cuts the
-    lineage, and survives lost executors. The shuffle files behind it are then
-    of no more use; the driver's garbage collection lets Spark remove them."""
+    lineage, and survives lost executors. Shuffle files of earlier steps are of
+    no more use then; the driver's garbage collection, before a new step, lets
+    Spark remove them."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove what ``materialize`` has written for these, which nothing reads any more."""
+    for df in frames:
+        discard(df.sparkSession, df._scratch)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,27 +2,43 @@
 
 A text is a sequence of units: lines, cut further after each sentence end (full
 stop, '!', '?', ';' and an ellipsis with space behind, and their forms in other
-writing), as passages are often pasted into the middle of a line. Longer
-sentences are cut after the words with the least hash of each window of 13
-(half of ``min_words``), so that the cuts depend on the words around alone: of
-any 51 words (2 * ``min_words`` + 1) that occur at two places, 25 or more are
-whole units at both. Units get integer IDs and prefix doubling names every run of 1, 2, 4, ... units: the name of a run is the
-smallest position where it occurs, so two runs of one length are equal exactly
-if their names are. A run that occurs once is dropped at once, as all longer
-ones that begin with it are single, too; what stays are the branching nodes of
-the suffix array. Two overlapping names of 2**k give the name of a run of any
-length, and with it the longest-common-prefix interval that it belongs to.
-
-A maximal repeated run counts if it has ``min_words`` words or more. It is the
-union of the shortest runs of ``min_words`` words that begin, or end, at each
-of its units, so names are needed only up to that length: a run of that many
-words has at most that many units. Of each such run the first copy (smallest
-doc_id, then position) stays and all later ones are deleted.
-
-All of it is DataFrame code. Rows are units that are repeated somewhere, keyed
-by document and position; a frequent unit is folded by partial aggregation
-before the shuffle, and its rows meet only in joins, which AQE can split.
-Units are told apart by 96 hash bits.
+writing), as passages are often pasted into the middle of a line; a sentence
+of one word goes with the one before it. A sentence
+of more than 12 words (half of ``min_words``) is cut after its words of the
+first of ``LEVELS`` that occurs, and parts that are still too long by the next
+level; what no level cuts is cut at the least hashes of windows. So each cut
+depends on the words around alone: of any 51 words (2 * ``min_words`` + 1) that
+occur at two places, 25 or more are whole units at both.
+
+1. Classes. Units are counted by a 64-bit hash, with map-side aggregation; a
+   class that occurs once is dropped. (A run that counts has two units at
+   least, so a confusion takes two pairs of adjacent units with equal hashes.)
+   For each class it is known whether all its units have one left, and one
+   right neighbour.
+   Where a unit follows itself often (a word said a thousand times), the middle
+   is one unit with its number: ``min_words`` words of it stay at both ends, so
+   runs that lead into or out of such a place are found as before.
+2. Segments. Where a unit is always followed by the same unit, which always
+   follows it, both are one segment: unary paths of the suffix tree are
+   contracted before any sorting. A document that is copied whole is one
+   segment, whatever its length.
+3. Prefix doubling names the repeated runs of 1, 2, 4, ... segments: a run's
+   name is the smallest position where it occurs, so two runs of one length are
+   equal exactly if their names are. Names serve as ranks, as only their
+   equality is used. What occurs once is dropped; the rest are the branching
+   nodes of the suffix tree. Doubling ends at the length that ``min_words``
+   words can have.
+4. Intervals. All suffixes that begin with one run of ``min_words`` words are a
+   longest-common-prefix interval; its name is two names of 2**k that overlap.
+   The first copy of an interval's run (smallest doc_id, then position) stays
+   and later ones are deleted. The shortest runs of ``min_words`` words that
+   begin, or end, at each segment cover every maximal repeated run, so the
+   units that go are those of the maximal runs.
+
+All of it is DataFrame code. A document's units are one row of hashes; rows of
+single units are made for counting and joining only. A frequent unit is folded
+by partial aggregation before the shuffle; the join with the classes has two
+plain sides, so AQE can split its rows, too.
 
 Defined results: null text has no units and stays null; a text whose units all
 go becomes empty but for white space before its first word; if doc_ids are null, repeated, negative or 2**39 and above,
@@ -40,7 +56,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 MIN_WORDS = 25
 STRIDE = 1 << 24
@@ -51,31 +67,59 @@ SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c,
 #: Sentence ends that need a space behind, and those of writing that needs none.
 STOPS = ".!?;\u2026"
 WIDE_STOPS = "\u3002\uff01\uff1f\uff1b\uff61\u061f\u06d4\u061b\u0964\u0965\u1362\u1367\u0589\u17d4\u104b"
+#: Writing that needs the wide forms. For other texts the patterns below are
+#: of Latin-1 alone, which Java's matcher looks up in a table.
+FAR = r"[։-\x{10ffff}]"
+NEAR_STOPS, NEAR_SPACE = ".!?;", r" \t\n\x0b\f\r\x85\xa0"
 _SIGNS = rf"[^\p{{L}}\p{{N}}{SPACE}]{{0,64}}+"
 #: A unit ends after a line break, or after a sentence end (other marks may follow) and the space behind it.
 BREAK = rf"[\n{STOPS}{WIDE_STOPS}](?:(?<=\n)|(?<=[{WIDE_STOPS}]){_SIGNS}|{_SIGNS}[{SPACE}])[{SPACE}]*+(?!\z)"
+NEAR_BREAK = rf"[\n{NEAR_STOPS}](?:(?<=\n)|{_SIGNS}[{NEAR_SPACE}])[{NEAR_SPACE}]*+(?!\z)"
+#: The mark of a break before a sentence of one word, where no line ends.
+ONE_WORD = rf"(?<!\n)@(?=[^{NEAR_SPACE}@]++ @)"
 #: Letters of writing without spaces; each counts as a word.
 ALONE = r"\u0e01-\u0eff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}"
 WORD = rf"[{ALONE}]|[^{SPACE}{ALONE}]++"
-#: One that is not in the text marks its breaks; a text with all of them is cut in another way, which takes longer.
+#: Levels of words after which long sentences are cut: by their last sign, then by their length.
+LEVELS = [rf"[{ends}][{NEAR_SPACE}]++(?!\z)" for ends in (r",;:)\]dl", "ghyfkp", "uizmcbv", "an", "ro", "ts")]
+LEVELS += [rf"(?<![^{NEAR_SPACE}])[^{NEAR_SPACE}]{{{size}}}[{NEAR_SPACE}]++(?!\z)" for size in ("12,", "9,", "7,", "5,", "4", "3", "1,2")]
+#: One that is not in the text marks its breaks. (A text with all of them is cut in another way, and keeps sentences of one word.)
 MARKS = ("\x01", "\x02", "\ue000")
 
 
-def n_words(unit: Column) -> Column:
-    """Maximal runs without white space. In ASCII with single blanks alone that is blanks + 1."""
-    blanks = F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
-    odd = [F.contains(unit, F.lit(c)) for c in ("  ", "\t", "\n", "\r", "\x0b", "\x0c")]
-    ends = [F.startswith(unit, F.lit(" ")), F.endswith(unit, F.lit(" ")), unit == "", F.octet_length(unit) != F.length(unit)]
-    return F.when(reduce(lambda a, b: a | b, odd + ends), F.regexp_count(unit, F.lit(WORD))).otherwise(blanks + 1).cast("int")
+def _blanks(unit: Column) -> Column:
+    return F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
 
 
-def _sentences(text: Column) -> Column:
-    """Lines, cut at sentence ends; joined they are the text again."""
-    out = F.regexp_extract_all(text, F.lit(f"(?s)(?=.).*?(?:{BREAK}|\\z)"), F.lit(0))
-    for mark in reversed(MARKS):
-        marked = F.split(F.regexp_replace(text, F.lit(BREAK), F.lit("$0" + mark)), mark)
-        out = F.when(F.contains(text, F.lit(mark)), out).otherwise(marked)
-    return out
+def _plain(text: Column) -> Column:
+    """Whether words are parted by single blanks and line breaks alone, so that
+    words within a unit are its inner blanks + 1."""
+    odd = [F.contains(text, F.lit("  ")), F.startswith(text, F.lit(" ")), F.rlike(text, F.lit(r"[\t\x0b\f\r\x85\xa0]")), F.rlike(text, F.lit(FAR))]
+    return ~reduce(lambda a, b: a | b, odd)
+
+
+def n_words(unit: Column, plain: Column | None = None) -> Column:
+    """Maximal runs without white space; letters of ALONE are words of their
+    own. ``unit`` is trimmed if ``plain`` is given."""
+    counted = F.regexp_count(unit, F.lit(WORD))
+    if plain is None:
+        return counted
+    return F.when(plain, F.when(unit == "", 0).otherwise(_blanks(unit) + 1)).otherwise(counted)
+
+
+def _cut(text: Column, pattern: str, mark: str, join: str = "") -> Column:
+    """``text`` cut after each match, which is not at its end; joined the parts
+    are the text again. Where ``join`` (with ``@`` for the mark) matches, there is no cut."""
+    if not mark:
+        return F.regexp_extract_all(text, F.lit(f"(?s)(?=.).*?(?:{pattern}|\\z)"), F.lit(0))
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit("$0" + mark))
+    return F.split(F.regexp_replace(marked, F.lit(join.replace("@", mark)), F.lit("")) if join else marked, mark)
+
+
+def _sentences(text: Column, mark: str) -> Column:
+    """Lines, cut at sentence ends; a sentence of one word goes with the one before it."""
+    far, near = (_cut(text, rx, mark, ONE_WORD) for rx in (BREAK, NEAR_BREAK))
+    return F.when(F.rlike(text, F.lit(FAR)), far).otherwise(near)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -109,21 +153,46 @@ def _chunks(sentence: Column, most: int) -> Column:
 
 def _most(min_words: int) -> int:
     """Of 2 * ``min_words`` + 1 words pasted anywhere, whole units hold ``min_words``
-    at least if each end loses so many words at most."""
-    return max((min_words + 2) // 2, 1)
+    at least if each end loses so many words, and one more, at most."""
+    return max(min_words // 2, 1)
+
+
+def _parts(unit: Column, most: int, plain: Column, mark: str, level: int = 0) -> Column:
+    """A unit of more than ``most`` words, cut by the levels from ``level`` on."""
+    if level == len(LEVELS):
+        return _chunks(unit, most)
+    parts = _cut(unit, LEVELS[level], mark)
+    return F.flatten(F.transform(parts, lambda u: F.when(_long(u, most, plain), _parts(u, most, plain, mark, level + 1)).otherwise(F.array(u))))
+
+
+def _long(unit: Column, most: int, plain: Column) -> Column:
+    """Whether a unit has more than ``most`` words."""
+    trimmed = F.rtrim(unit, F.lit(" \n"))
+    words = F.when(plain, _blanks(trimmed) + 1).otherwise(F.regexp_count(unit, F.lit(WORD)))
+    return (F.octet_length(unit) > 2 * most) & (words > most)
 
 
 def units(text: Column, most: int = _most(MIN_WORDS)) -> Column:
     """The units of a text; joined they are the text again. Every ``most`` words
-    in a row hold the end of a unit, and which one depends on these words alone."""
-    return F.flatten(F.transform(_sentences(text), lambda s: F.when(n_words(s) > most, _chunks(s, most)).otherwise(F.array(s))))
+    in a row hold the end of a unit, and which one depends on these words (and
+    on whether a sentence of one word follows them) alone."""
+
+    def cut(plain: Column, mark: str) -> Column:
+        parts = F.transform(_sentences(text, mark), lambda u: F.when(_long(u, most, plain), _parts(u, most, plain, mark)).otherwise(F.array(u)))
+        return F.flatten(parts)
+
+    def choice(plain: Column) -> Column:
+        out = cut(plain, "")
+        for mark in reversed(MARKS):
+            out = F.when(F.contains(text, F.lit(mark)), out).otherwise(cut(plain, mark))
+        return out
 
+    return _let(_plain(text), choice)
 
-def _trimmed(unit: Column) -> Column:
-    """Without white space around; most units have but a space behind."""
-    odd = [f(unit, F.lit(c)) for c in "\n\r\t\x0b\x0c" for f in (F.endswith, F.startswith)]
-    odd.append(F.octet_length(unit) != F.length(unit))
-    return F.when(reduce(lambda a, b: a | b, odd), F.btrim(unit, F.lit(SPACES))).otherwise(F.trim(unit))
+
+def _trimmed(unit: Column, plain: Column) -> Column:
+    """Without white space around."""
+    return F.when(plain, F.btrim(unit, F.lit(" \n"))).otherwise(F.btrim(unit, F.lit(SPACES)))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -143,98 +212,172 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return rows.join(parts, "part").select((F.col("before") + F.col("place")).alias("doc"), "doc_id", "text", "rest")
 
 
-def _named(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` (key, doc, pos, ...) whose key occurs more than once, with ``name``."""
-    at = F.col("doc") * STRIDE + F.col("pos")
-    names = rows.groupBy(*key).agg(F.min(at).alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(names, key)
-
-
-def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
-    """``rows`` (doc, pos, name, words) of stretches of adjacent repeated units
-    with ``min_words`` words or more, with the shortest run of that many words
-    that begins (ahead) and the one that ends (behind) at each unit: its number
-    of units and words."""
-    order = Window.partitionBy("doc").orderBy("pos")
-    rows = rows.withColumns({"stretch": F.col("pos") - F.row_number().over(order), "upto": F.sum("words").over(order)})
-    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
-    whole = Window.partitionBy("doc", "stretch")
-    ahead = whole.orderBy("before").rangeBetween(0, min_words - 1)
-    behind = whole.orderBy("upto").rangeBetween(1 - min_words, 0)
-    rows = rows.withColumn("all_words", F.sum("words").over(whole)).filter(F.col("all_words") >= min_words)
-    return rows.select(
+def unit_hashes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, keys, words, starts, n, own): the units of each of ``docs`` (doc,
+    text): hashes, numbers of words, and where they start among ``n`` units
+    (null: one each). Where one follows itself often, ``min_words`` words of
+    it stay at both ends, and those between are one unit with their number; ``own``
+    has the runs [start, end) of later copies that such a place has in itself."""
+    cut = docs.filter("text is not null").select("doc", _plain(F.col("text")).alias("plain"), units(F.col("text"), _most(min_words)).alias("units"))
+    refused = F.raise_error(F.lit(f"a text has more than {STRIDE} units")).cast(cut.schema["units"].dataType)
+    cut = cut.withColumn("units", F.when(F.size("units") > STRIDE, refused).otherwise(F.col("units")))
+    plain = F.col("plain")
+    each = cut.withColumn("units", F.transform("units", lambda u: _trimmed(u, plain))).select(
         "doc",
-        "pos",
-        "name",
-        "words",
-        F.count(F.lit(1)).over(ahead).cast("int").alias("n_ahead"),
-        F.sum("words").over(ahead).alias("words_ahead"),
-        F.count(F.lit(1)).over(behind).cast("int").alias("n_behind"),
-        F.sum("words").over(behind).alias("words_behind"),
+        F.transform("units", lambda u: F.xxhash64(u)).alias("keys"),
+        F.transform("units", lambda u: n_words(u, plain).cast("int")).alias("words"),
     )
+    changes = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda k: (k == 0) | (F.get("keys", k) != F.get("keys", k - 1)))
+    each = each.withColumns({"n": F.size("keys"), "changes": F.when(F.size(F.array_distinct("keys")) < F.size("keys"), changes)})
+
+    def length(at: Column, k: Column) -> Column:
+        return F.coalesce(F.get("changes", k + 1), F.col("n")) - at
+
+    def shown(at: Column, k: Column) -> Column:
+        side = F.ceil(F.lit(min_words) / F.greatest(F.get("words", at), F.lit(1))).cast("int")
+        end = at + length(at, k)
+        parts = F.concat(F.sequence(at, at + side), F.sequence(end - side, end - 1))
+        return F.when(length(at, k) > 2 * side + 1, parts).otherwise(F.sequence(at, end - 1))
 
+    def copies(at: Column, k: Column) -> Column:
+        later = F.struct((at + 1).cast("long").alias("start"), (at + length(at, k)).cast("long").alias("end"))
+        return F.when((length(at, k) - 1) * F.get("words", at) >= min_words, later)
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``_stretches`` of the units of ``docs`` (doc, text) that occur more than once."""
-    cut = docs.select("doc", F.posexplode(units(F.col("text"), _most(min_words))).alias("pos", "unit"))
-    refused = F.raise_error(F.lit(f"a text has more than {STRIDE} units")).cast("int")
-    cut = cut.withColumn("pos", F.when(F.col("pos") < STRIDE, F.col("pos")).otherwise(refused))
+    each = each.withColumns({"starts": F.flatten(F.transform("changes", shown)), "own": F.array_compact(F.transform("changes", copies))})
+
+    def times(at: Column, k: Column) -> Column:
+        return F.coalesce(F.get("starts", k + 1), F.col("n")) - at
+
+    def key(at: Column, k: Column) -> Column:
+        return F.when(times(at, k) > 1, F.xxhash64(F.get("keys", at), times(at, k))).otherwise(F.get("keys", at))
+
+    keys = F.coalesce(F.transform("starts", key), F.col("keys"))
+    words = F.coalesce(F.transform("starts", lambda at, k: F.get("words", at) * times(at, k)), F.col("words"))
+    return each.select("doc", keys.alias("keys"), words.alias("words"), "starts", "n", "own")
+
+
+def _rows(hashes: DataFrame, *columns: Column) -> DataFrame:
+    """A row (pos, key, columns) for each unit that has words."""
+    rows = hashes.select("*", F.posexplode("keys").alias("pos", "key"))
     # A unit without words is white space before the first one.
-    cut = cut.withColumn("unit", _trimmed(F.col("unit"))).filter("unit != ''")
-    rows = cut.select("doc", "pos", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), n_words(F.col("unit")).alias("words"))
-    return _stretches(_named(rows, ["h1", "h2"]).select("doc", "pos", "name", "words"), min_words)
+    return rows.filter(F.get("words", F.col("pos")) > 0).select("pos", "key", *columns)
+
+
+def unit_classes(hashes: DataFrame) -> DataFrame:
+    """(key, one_left, one_right): units that occur more than once, and whether
+    all of a class have the same left, or right, neighbour."""
 
+    def neighbour(step: int) -> Column:
+        return F.coalesce(F.shiftright(F.get("keys", F.col("pos") + step), 32), F.lit(0)).cast("int")
 
-def run_names(level: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos, k, name): the repeated runs of 2**k units at each position,
-    from those of one unit (doc, pos, name, words). Longer runs than
-    ``min_words`` needs are left out."""
+    rows = _rows(hashes, neighbour(-1).alias("left"), neighbour(1).alias("right"))
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("left", "right")])
+    found = found.filter("n > 1")
+    return found.select("key", *[(F.col(f"min_{c}") == F.col(f"max_{c}")).alias(f"one_{c}") for c in ("left", "right")])
+
+
+def segments(hashes: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, pos, key, start, units, words): stretches of adjacent repeated units
+    with ``min_words`` words or more, as segments. ``pos`` numbers a document's
+    segments and leaves out a number between two stretches."""
+    start = F.coalesce(F.get("starts", F.col("pos")), F.col("pos"))
+    times = F.when(F.col("starts").isNull(), 1).otherwise(F.coalesce(F.get("starts", F.col("pos") + 1), F.col("n")) - start)
+    rows = _rows(hashes, F.col("doc"), start.alias("start"), times.alias("units"), F.get("words", F.col("pos")).alias("words"))
+    rows = rows.join(classes, "key")
+    order = Window.partitionBy("doc").orderBy("pos")
+    rows = rows.withColumns({"stretch": F.col("pos") - F.row_number().over(order), "before": F.lag("pos").over(order), "open": F.lag("one_right").over(order)})
+    adjacent = F.coalesce(F.col("before") == F.col("pos") - 1, F.lit(False))
+    opens = F.when(~adjacent, 2).when(F.col("one_left") & F.col("open"), 0).otherwise(1)
+    rows = rows.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(order))
+    first = F.min(F.struct("start", "key"))
+    found = rows.groupBy("doc", "stretch", "segment").agg(first.alias("first"), F.sum("units").alias("units"), F.sum("words").alias("words"))
+    found = found.withColumn("all_words", F.sum("words").over(Window.partitionBy("doc", "stretch"))).filter(F.col("all_words") >= min_words)
+    return found.select("doc", F.col("segment").cast("int").alias("pos"), "first.key", "first.start", "units", "words")
+
+
+def _named(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` (key, doc, pos, ...) whose key occurs more than once, with ``name``."""
+    at = F.col("doc") * STRIDE + F.col("pos")
+    names = rows.groupBy(*key).agg(F.min(at).alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return rows.join(names, key)
+
+
+def run_names(level: DataFrame, min_words: int = MIN_WORDS) -> list[DataFrame]:
+    """By k, (doc, pos, name, words, ...): the repeated runs of 2**k segments at
+    each position, from those of one. Doubling ends where a run has
+    ``min_words`` words without its first and without its last segment: longer
+    runs are made of such."""
+    out, k = [level], 0
     level = level.select("doc", "pos", "name", "words", F.col("words").alias("first"), F.col("words").alias("last"))
-    out, k = level.select("doc", "pos", F.lit(0).alias("k"), "name"), 0
     while 2 << k <= min_words and not level.isEmpty():
         # The run that begins where this one ends.
         after = Window.partitionBy("doc").orderBy("pos").rangeBetween(1 << k, 1 << k)
-        pairs = level.withColumns(
-            {"b": F.first("name").over(after), "words_b": F.first("words").over(after), "last": F.first("last").over(after)}
-        )
+        pairs = level.withColumns({"b": F.first("name").over(after), "words_b": F.first("words").over(after), "last": F.first("last").over(after)})
         pairs = pairs.filter("b is not null").withColumn("words", F.col("words") + F.col("words_b")).withColumnRenamed("name", "a")
-        # Else a shorter run has min_words already, whichever end it keeps.
         pairs = pairs.filter(F.col("words") - F.greatest("first", "last") < min_words)
         level = materialize(_named(pairs, ["a", "b"]).select("doc", "pos", "name", "words", "first", "last"), "runs")
         k += 1
-        out = out.unionByName(level.select("doc", "pos", F.lit(k).alias("k"), "name"))
+        out.append(level)
     return out
 
 
-def _candidates(level0: DataFrame, min_words: int) -> DataFrame:
-    """(doc, pos, length): the shortest runs of ``min_words`` words that begin or end at a repeated unit."""
-    ends = F.array(
-        F.struct(F.col("pos").alias("pos"), F.col("n_ahead").alias("length"), F.col("words_ahead").alias("words")),
-        F.struct((F.col("pos") - F.col("n_behind") + 1).alias("pos"), F.col("n_behind").alias("length"), F.col("words_behind").alias("words")),
+def _candidates(level: DataFrame, min_words: int) -> DataFrame:
+    """(doc, pos, length, start, end): the shortest runs of ``min_words`` words that begin or end at a segment."""
+    order = Window.partitionBy("doc").orderBy("pos")
+    rows = level.withColumns({"stretch": F.col("pos") - F.row_number().over(order), "upto": F.sum("words").over(order)})
+    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
+    whole = Window.partitionBy("doc", "stretch")
+    ahead, behind = whole.orderBy("before").rangeBetween(0, min_words - 1), whole.orderBy("upto").rangeBetween(1 - min_words, 0)
+    one = {"n": F.count(F.lit(1)), "units": F.sum("units"), "words": F.sum("words")}
+    rows = rows.select(
+        "doc", "pos", "start", "units", *[f.over(w).alias(f"{side}_{c}") for side, w in (("ahead", ahead), ("behind", behind)) for c, f in one.items()]
+    )
+
+    def run(side: str, pos: Column, start: Column) -> Column:
+        ends = (start + F.col(f"{side}_units")).alias("end")
+        return F.struct(pos.alias("pos"), F.col(f"{side}_n").cast("int").alias("length"), start.alias("start"), ends, F.col(f"{side}_words").alias("words"))
+
+    both = F.array(
+        run("ahead", F.col("pos"), F.col("start").cast("long")),
+        run("behind", (F.col("pos") - F.col("behind_n") + 1).cast("int"), F.col("start") + F.col("units") - F.col("behind_units")),
     )
-    return level0.select("doc", F.inline(F.array_distinct(ends))).filter(F.col("words") >= min_words).select("doc", "pos", "length")
+    return rows.select("doc", F.inline(F.array_distinct(both))).filter(F.col("words") >= min_words).drop("words").distinct()
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, cuts): sorted disjoint [start, end) runs of units to delete. ``docs`` has doc and text."""
-    level0 = materialize(repeated_units(docs, min_words), "units")
-    alone = level0.filter((F.col("words") >= min_words) & (F.col("name") < F.col("doc") * STRIDE + F.col("pos")))
-    alone = alone.select("doc", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"))
-    names = run_names(level0.select("doc", "pos", "name", "words"), min_words)
-    runs = _candidates(level0, min_words).filter("length > 1").distinct()
-    runs = runs.withColumn("k", F.floor(F.log2(F.col("length") + 0.5)).cast("int"))
+    hashes = materialize(unit_hashes(docs, min_words), "units")
+    classes = materialize(unit_classes(hashes), "classes")
+    own = materialize(hashes.select("doc", F.inline("own")), "own")
+    if classes.isEmpty():
+        release(hashes, classes)
+        return materialize(_merged(own), "cuts")
+    keyed = materialize(segments(hashes, classes, min_words), "segments")
+    release(hashes, classes)
+    level = materialize(_named(keyed, ["key"]).drop("key"), "names")
+    release(keyed)
+    levels = run_names(level, min_words)
+    names = reduce(DataFrame.unionByName, [one.select("doc", "pos", F.lit(k).alias("k"), "name") for k, one in enumerate(levels)])
+    runs = _candidates(level, min_words).withColumn("k", F.floor(F.log2(F.col("length") + 0.5)).cast("int"))
     runs = runs.withColumn("second", F.expr("pos + length - shiftleft(1, k)"))
-    name = names.filter("k > 0")
-    runs = runs.join(name.withColumnRenamed("name", "a"), ["doc", "pos", "k"])
-    runs = runs.join(name.select("doc", F.col("pos").alias("second"), "k", F.col("name").alias("b")), ["doc", "second", "k"])
-    found = _named(materialize(runs.select("doc", "pos", "length", "a", "b"), "candidates"), ["a", "b", "length"])
-    found = found.filter(F.col("name") < F.col("doc") * STRIDE + F.col("pos"))
-    found = found.select("doc", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end")).unionByName(alone)
+    runs = runs.join(names.withColumnRenamed("name", "a"), ["doc", "pos", "k"])
+    runs = runs.join(names.select("doc", F.col("pos").alias("second"), "k", F.col("name").alias("b")), ["doc", "second", "k"])
+    runs = materialize(runs.select("doc", "pos", "length", "start", "end", "a", "b"), "candidates")
+    release(*levels)
+    found = _named(runs, ["a", "b", "length"])
+    found = found.filter(F.col("name") < F.col("doc") * STRIDE + F.col("pos")).select("doc", "start", "end")
+    cuts = materialize(_merged(found.unionByName(own)), "cuts")
+    release(runs, own)
+    return cuts
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(doc, cuts): runs (doc, start, end) that overlap or touch are one."""
     order = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("opens", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-    found = found.withColumn("cut", F.sum("opens").over(order)).groupBy("doc", "cut").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return materialize(found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")), "cuts")
+    found = found.withColumn("cut", F.sum("opens").over(order)).groupBy("doc", "cut").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
+    return found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
 
 def _without(all_units: Column, cuts: Column) -> Column:

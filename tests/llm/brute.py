@@ -4,19 +4,53 @@ from __future__ import annotations
 
 import re
 
-BREAK = re.compile(r"[\n.](?<!\A[\n.])(?:(?<=\n)|(?:(?!\w|\s).|_)*\s)\s*+(?!\Z)")
+
+def sentences(text: str) -> list[str]:
+    """Lines and sentences with the white space behind them; one of one word, in a line, goes with the one before."""
+    ends, at = [], 0
+    while match := re.compile(r"\n|[.!?;](?:[^\w\s]|_)*\s").search(text, at):
+        at = re.compile(r"\s*").match(text, match.end()).end()
+        if at < len(text):
+            ends.append(at)
+    out: list[str] = []
+    for a, b in zip([0, *ends], [*ends, len(text)], strict=True):
+        own = text[a:b]
+        if out and len(own.split()) == 1 and own == own.strip() + " " and b < len(text) and not out[-1].endswith("\n"):
+            out[-1] += own
+        else:
+            out.append(own)
+    return out
 
 
-def units(text: str) -> list[str]:
-    ends = [m.end() for m in BREAK.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
+def units(text: str, most: int) -> list[str]:
+    """Sentences; those of more than ``most`` words are cut after words of the first kind that occurs, and so on."""
+    kinds = [lambda w, c=c: w[-1] in c for c in (",;:)]dl", "ghyfkp", "uizmcbv", "an", "ro", "ts")]
+    kinds += [lambda w, a=a, b=b: a <= len(w) <= b for a, b in ((12, 10**9), (9, 10**9), (7, 10**9), (5, 10**9), (4, 4), (3, 3), (1, 2))]
+    parts = sentences(text)
+    for kind in kinds:
+        cut = []
+        for part in parts:
+            if len(part.split()) <= most:
+                cut.append(part)
+                continue
+            words = re.findall(r"\s*\S+\s*", part)
+            now = ""
+            for word in words:
+                now += word
+                if kind(word.strip()) and word[-1].isspace():
+                    cut.append(now)
+                    now = ""
+            if now:
+                cut.append(now)
+        parts = cut
+    return parts
 
 
 def line_dedup(docs: list[tuple[int, str]], min_words: int) -> dict[int, str]:
     """Delete every unit in a run of ``min_words`` words that occurs at an earlier place."""
     docs = sorted(docs)
-    cut = {d: units(t or "") for d, t in docs}
-    plain = {d: [u.strip(" \n\r\t") for u in us] for d, us in cut.items()}
+    cut = {d: units(t or "", max(min_words // 2, 1)) for d, t in docs}
+    plain = {d: [u.strip() for u in us] for d, us in cut.items()}
     seen: set[tuple[str, ...]] = set()
     out = {}
     for d, _ in docs:
@@ -24,14 +58,14 @@ def line_dedup(docs: list[tuple[int, str]], min_words: int) -> dict[int, str]:
         for a in range(len(own)):
             words = 0
             for b in range(a, len(own)):
-                words += own[b].count(" ") + 1
+                words += len(own[b].split())
                 key = tuple(own[a : b + 1])
                 if words >= min_words:
                     if key in seen:
                         drop |= set(range(a, b + 1))
                     seen.add(key)
-                if len(key) > 60:
-                    break
+                if words >= 4 * min_words:
+                    break  # longer runs are made of shorter ones
         out[d] = "".join(u for k, u in enumerate(cut[d]) if k not in drop)
     return out
 

@@ -68,7 +68,7 @@ def test_line_dedup_of_odd_rows(spark):
     assert got.columns == ["doc_id", "text", "doc", "units", "class", "kept", "rest"]
     found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
     # Rows without an id come first; the two rows of id 3 repeat them.
-    assert found == sorted([(1, None), (2, ""), (None, "same text. "), (4, "Ä x " * 3000), (5, "\n\t ")], key=str)
+    assert found == sorted([(1, None), (2, ""), (None, "same text. "), (4, "Ä x "), (5, "\n\t ")], key=str)
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
