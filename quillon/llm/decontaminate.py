@@ -2,11 +2,12 @@
 
 Words are runs of letters and digits, compared without regard to the case of
 Latin-1 letters; ASCII punctuation only ends them. Runs of ``seed_words``
-words that a document shares with a test item (found by their Karp-Rabin
-hashes) are the seeds. Seeds that follow each other grow into matches; the
-longest match whose words are all unmarked is marked in both texts, again and
-again, until none of ``seed_words`` words is left. The marked share of the item
-is its coverage: passages in another order count in full. A document is
+words that a document shares with a test item are the seeds; only the words
+around them go on. There the longest match whose words are all unmarked, found
+by Karp-Rabin hashes of windows and compared word by word, is marked in both
+texts, again and again, until none of ``seed_words`` words is left. A document
+is tiled as a whole, whatever its length. The marked share of the item is its
+coverage: passages in another order count in full. A document is
 contaminated if an item reaches ``min_coverage``.
 
 The items go to the executors. Their size is checked: beyond ``block_bytes``
@@ -22,7 +23,6 @@ empty table of documents or items gives no or only clean rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,53 +31,103 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .wordhash import MARKS, WordHasher, shingles
+from .wordhash import BASE, INVERSE, MARKS, WordHasher, powers, shingles
 
 SEED_WORDS = 5
 MIN_COVERAGE = 0.75
 BLOCK_BYTES = 16_000_000
-#: Longer documents are tiled in overlapping parts of so many words.
-PART_WORDS = 200_000
 SCHEMA = "doc_id long, contaminated boolean, coverage double, item_id long, items array<long>"
 _FILTER_BITS = 22
 
 
-def tile(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], k: int, marked: bytearray) -> int:
-    """Greedy tiling of two sequences of word hashes. ``hits``: (place in doc,
-    place in item) where ``k`` words agree. ``marked`` has the item's marks and
-    gets the new ones; returns the number of words newly marked."""
-    hits.sort(key=lambda h: (h[0] - h[1], h[0]))
-    heap: list[tuple[int, int, int]] = []
-    at = 0
-    while at < len(hits):
-        end = at
-        while end + 1 < len(hits) and hits[end + 1] == (hits[end][0] + 1, hits[end][1] + 1):
-            end += 1
-        heap.append((-(end - at + k), hits[at][1], hits[at][0]))
-        at = end + 1
-    heapq.heapify(heap)
-    used: set[int] = set()
+def _free(used: np.ndarray) -> np.ndarray:
+    """How many words in a row are unmarked from each place on."""
+    ends = np.flatnonzero(np.append(used, True))
+    places = np.arange(len(used))
+    return ends[np.searchsorted(ends, places)] - places
+
+
+class _Windows:
+    """A sequence, its marks, and Karp-Rabin hashes of its windows of any length."""
+
+    def __init__(self, words: np.ndarray, used: np.ndarray) -> None:
+        self.words, self.used = words, used
+        power, self.inverse = powers(BASE, len(words) + 1), powers(INVERSE, len(words) + 1)
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * power[:-1], out=self.sums[1:])
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the unmarked windows of ``size`` words."""
+        at = np.flatnonzero(_free(self.used) >= size)
+        return at, (self.sums[at + size] - self.sums[at]) * self.inverse[at]
+
+    def mark(self, at: int, size: int) -> None:
+        self.used[at : at + size] = True
+
+    def open(self, at: int, size: int) -> bool:
+        return not self.used[at : at + size].any()
+
+
+def _mark_all(doc: _Windows, item: _Windows, size: int) -> int:
+    """Mark the matches of ``size`` words, leftmost in the item and then in the
+    document; those that overlap a marked one are none. Words are compared."""
+    at, found = doc.of(size)
+    order = np.argsort(found, kind="stable")
+    at, found = at[order], found[order]
+    places, wanted = item.of(size)
+    first, last = np.searchsorted(found, wanted, "left"), np.searchsorted(found, wanted, "right")
+    next_of: dict[int, int] = {}  # of equal windows of the document, those before are marked
     count = 0
-    while heap:
-        length, j, i = heapq.heappop(heap)
-        free = [not marked[j + x] and i + x not in used for x in range(-length)]
-        if all(free):
-            for x in range(-length):
-                marked[j + x] = 1
-                used.add(i + x)
-            count -= length
+    for j, a, b in zip(places[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
+        if not item.open(j, size):
             continue
-        at = 0
-        while at < len(free):
-            end = at
-            while end < len(free) and free[end]:
-                end += 1
-            if end - at >= k:
-                heapq.heappush(heap, (at - end, j + at, i + at))
-            at = end + 1
+        x = next_of.get(a, a)
+        while x < b and not doc.open(int(at[x]), size):
+            x += 1
+        next_of[a] = x
+        if x < b and np.array_equal(doc.words[at[x] : at[x] + size], item.words[j : j + size]):
+            item.mark(j, size)
+            doc.mark(int(at[x]), size)
+            count += 1
     return count
 
 
+def tile(doc: np.ndarray, item: np.ndarray, k: int, marked: np.ndarray, used: np.ndarray | None = None) -> int:
+    """Greedy tiling of two sequences of words (as numbers): matches of the
+    greatest length are marked first, down to ``k`` words. ``marked`` has the
+    item's marks and gets the new ones, ``used`` those of the document; returns
+    the number of the item's words newly marked. The greatest length is found by
+    bisection, as each match holds matches of all smaller lengths; so this takes
+    the same time for repetitive texts as for others."""
+    a, b = _Windows(doc, np.zeros(len(doc), bool) if used is None else used), _Windows(item, marked)
+    before = int(marked.sum())
+    most = min(len(doc), len(item))
+    while most >= k:
+        low, high = k - 1, most
+        while low < high:
+            size = (low + high + 1) // 2
+            if np.isin(b.of(size)[1], a.of(size)[1]).any():
+                low = size
+            else:
+                high = size - 1
+        if low < k:
+            break
+        _mark_all(a, b, low)
+        most = low - 1
+    return int(marked.sum()) - before
+
+
+def _around(words: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that are in some run of ``k`` at ``places``, and a mark where some are left out between them."""
+    inside = np.zeros(len(words) + 1, np.int64)
+    np.add.at(inside, places, 1)
+    np.add.at(inside, places + k, -1)
+    at = np.flatnonzero(np.cumsum(inside)[:-1])
+    gaps = np.flatnonzero(np.diff(at) > 1) + 1
+    part, marks = np.insert(words[at], gaps, np.uint64(0)), np.insert(np.zeros(len(at), bool), gaps, True)
+    return part, marks
+
+
 class Items:
     """Test items as word hashes, with an index of their seeds."""
 
@@ -91,19 +141,18 @@ class Items:
                 self.words.append(words)
         self.index = {}
         for k in {min(seed_words, len(w)) for w in self.words}:
-            own = [(n, *shingles(w, np.zeros(len(w), np.int8), k)) for n, w in enumerate(self.words) if min(seed_words, len(w)) == k]
-            hashes = np.concatenate([h for _, h, _ in own])
+            own = [(n, np.unique(shingles(w, np.zeros(len(w), np.int8), k)[0])) for n, w in enumerate(self.words) if min(seed_words, len(w)) == k]
+            hashes = np.concatenate([h for _, h in own])
             order = np.argsort(hashes, kind="stable")
-            items = np.concatenate([np.full(len(h), n) for n, h, _ in own])[order]
-            places = np.concatenate([p for _, _, p in own])[order]
+            items = np.concatenate([np.full(len(h), n) for n, h in own])[order]
             unique, first = np.unique(hashes[order], return_index=True)
             present = np.zeros(1 << _FILTER_BITS, bool)
             present[unique & np.uint64((1 << _FILTER_BITS) - 1)] = True
-            self.index[k] = (unique, np.append(first, len(items)), items, places, present)
+            self.index[k] = (unique, np.append(first, len(items)), items, present)
 
     def seeds(self, words: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By seed length: the place in ``words`` and the row of the index of each seed found."""
-        for k, (unique, _, _, _, present) in self.index.items():
+        for k, (unique, _, _, present) in self.index.items():
             found, places = shingles(words, text, k)
             maybe = np.flatnonzero(present[found & np.uint64((1 << _FILTER_BITS) - 1)])
             row = np.minimum(np.searchsorted(unique, found[maybe]), len(unique) - 1)
@@ -112,20 +161,21 @@ class Items:
 
     def best(self, words: np.ndarray, seeds: list[tuple[int, np.ndarray, np.ndarray]], least: float) -> tuple[float, int | None, list[int]]:
         """Best coverage, its item, and all items of at least ``least``."""
-        marks: dict[int, bytearray] = {}
+        covered: dict[int, float] = {}
         for k, places, rows in seeds:
-            _, first, items, at, _ = self.index[k]
-            # Parts of long documents overlap by the longest item, and share its marks.
-            overlap = max(len(w) for w in self.words)
-            for start in range(0, max(len(words), 1), PART_WORDS):
-                here = (places >= start) & (places < start + PART_WORDS + overlap)
-                hits: dict[int, list[tuple[int, int]]] = {}
-                for place, row in zip(places[here].tolist(), rows[here].tolist(), strict=True):
-                    for x in range(first[row], first[row + 1]):
-                        hits.setdefault(int(items[x]), []).append((place, int(at[x])))
-                for n, own in hits.items():
-                    tile(words, self.words[n], own, k, marks.setdefault(n, bytearray(len(self.words[n]))))
-        covered = {n: sum(m) / len(m) for n, m in marks.items()}
+            _, first, items, _ = self.index[k]
+            # By item, the places of its seeds; an item has a seed once, however often it occurs.
+            order = np.argsort(rows, kind="stable")
+            own, begin = np.unique(rows[order], return_index=True)
+            by_item: dict[int, list[np.ndarray]] = {}
+            for row, there in zip(own.tolist(), np.split(places[order], begin[1:]), strict=True):
+                for n in items[first[row] : first[row + 1]].tolist():
+                    by_item.setdefault(n, []).append(there)
+            for n, there in by_item.items():
+                item = self.words[n]
+                part, gaps = _around(words, np.concatenate(there), k)
+                marked = np.zeros(len(item), bool)
+                covered[n] = tile(part, item, k, marked, gaps) / len(item)
         if not covered:
             return 0.0, None, []
         top = min(covered, key=lambda n: (-covered[n], n))

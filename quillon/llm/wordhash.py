@@ -1,20 +1,23 @@
 """64-bit hashes of the words of many texts at once, with numpy.
 
 A word's hash is a polynomial over random byte values modulo 2**64, taken from
-prefix sums (as Karp and Rabin's), then mixed. Texts are handled in slices of
-bounded size, also inside one long text or word. Two different words agree
-with a probability of about 2**-64.
+prefix sums (as Karp and Rabin's), then mixed; a word of more than ``LONG``
+bytes has a BLAKE2 digest, as such polynomials agree by construction on some
+pairs of long words (Thue and Morse's). Texts are handled in slices of bounded
+size that end between words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 19
-_MASK = (1 << 64) - 1
+#: Bytes of a word from which on its hash is a digest.
+LONG = 64
 U64 = np.uint64
 
 
@@ -33,8 +36,8 @@ def _random(n: int, seed: int) -> np.ndarray:
 
 
 _BYTE = _random(256, 11)
-_BASE = int(_random(1, 12)[0]) | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = int(_random(1, 12)[0]) | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 _PLACE = _random(8, 13) | U64(1)
 _SHORT = _random(8, 14)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -46,19 +49,23 @@ SPACES[[32, *range(9, 14)]] = True
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, U64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _digest(word: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
+
+
 class WordHasher:
     """Hashes of the words of texts. ``separators``: which bytes end words.
     ``latin``: fold the case of the letters of Latin-1, too."""
 
     def __init__(self, separators: np.ndarray = SPACES, latin: bool = False) -> None:
         self.separators, self.latin = separators, latin
-        self.power, self.inverse = _powers(_BASE, SLICE + 1), _powers(_INVERSE, SLICE + 1)
+        self.power, self.inverse = powers(BASE, SLICE + 1), powers(INVERSE, SLICE + 1)
 
     def _fold(self, data: np.ndarray) -> np.ndarray:
         folded = _FOLD[data]
@@ -87,7 +94,14 @@ class WordHasher:
         """Hashes of all words of adjacent texts of at most SLICE bytes together, and the text of each."""
         begin, end, raw, _ = self._raw(data, starts)
         text = np.searchsorted(starts, begin, "right") - 1
-        return mix(raw + (end - begin).astype(U64)), text
+        return self._whole(data, begin, end, raw), text
+
+    def _whole(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Hashes of whole words from their polynomials."""
+        hashes = mix(raw + (end - begin).astype(U64))
+        for k in np.flatnonzero(end - begin > LONG).tolist():
+            hashes[k] = _digest(self._fold(data[begin[k] : end[k]]))
+        return hashes
 
     def features(self, data: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Of adjacent texts: hashes of all words, and for each length of the
@@ -95,7 +109,7 @@ class WordHasher:
         begin, end, raw, sums = self._raw(data, starts)
         text = np.searchsorted(starts, begin, "right") - 1
         size = end - begin
-        hashes, texts = [mix(raw + size.astype(U64))], [text]
+        hashes, texts = [self._whole(data, begin, end, raw)], [text]
         for n in lengths:
             longer = np.flatnonzero(size > n)
             at = begin[longer]
@@ -104,28 +118,31 @@ class WordHasher:
         return np.concatenate(hashes), np.concatenate(texts)
 
     def long(self, data: np.ndarray) -> np.ndarray:
-        """Hashes of the words of one text of any size; words may cross slices."""
-        parts: list[np.ndarray] = []
-        open_raw, open_length = 0, 0
-        for at in range(0, len(data), SLICE):
-            piece = data[at : at + SLICE]
-            begin, end, raw, _ = self._raw(piece, np.zeros(1, np.int64))
-            length = (end - begin).astype(U64)
-            if open_length:
-                if len(begin) and begin[0] == 0:
-                    raw[0] = U64((open_raw + pow(_BASE, open_length, 1 << 64) * int(raw[0])) & _MASK)
-                    length[0] += U64(open_length)
-                else:
-                    parts.append(mix(np.array([(open_raw + open_length) & _MASK], U64)))
-                open_length = 0
-            if len(end) and end[-1] == len(piece) and at + SLICE < len(data):
-                open_raw, open_length = int(raw[-1]), int(length[-1])
-                raw, length = raw[:-1], length[:-1]
-            parts.append(mix(raw + length))
-        if open_length:
-            parts.append(mix(np.array([(open_raw + open_length) & _MASK], U64)))
+        """Hashes of the words of one text of any size, in slices that end between words."""
+        parts, at = [], 0
+        while at < len(data):
+            end = min(at + SLICE, len(data))
+            if end < len(data):
+                ends = np.flatnonzero(self.separators[data[at:end]])
+                if not len(ends):
+                    end = self._word_end(data, end)
+                    parts.append(np.array([_digest(self._fold(data[at:end]))], U64))
+                    at = end
+                    continue
+                end = at + int(ends[-1]) + 1
+            parts.append(self.group(data[at:end], np.zeros(1, np.int64))[0])
+            at = end
         return np.concatenate(parts) if parts else np.zeros(0, U64)
 
+    def _word_end(self, data: np.ndarray, at: int) -> int:
+        """Where the word that goes on at ``at`` ends."""
+        while at < len(data):
+            ends = np.flatnonzero(self.separators[data[at : at + SLICE]])
+            if len(ends):
+                return at + int(ends[0])
+            at += SLICE
+        return len(data)
+
     def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Over a column of strings, in groups of adjacent rows: first row,
         number of rows, hashes of all their words, and the row of each."""
