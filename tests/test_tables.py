@@ -163,3 +163,70 @@ def test_streaming_operators(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["sum"] for r in spark.table("sums").collect()) == [10, 14]
+
+
+def test_positions_with_one_hot_key(spark):
+    frame = spark.range(4000).selectExpr("id", "if(id % 3 > 0, 5, id % 50) as k")
+    placed = op.positions(frame, ["k"], buckets=8)
+    found = [(r.k, r.pos) for r in placed.collect()]
+    assert sorted(p for _, p in found) == list(range(1, 4001))
+    assert [k for k, _ in sorted(found, key=lambda x: x[1])] == sorted(k for k, _ in found)
+
+
+def test_a_lookup_by_prefix_reads_few_rows(spark):
+    tables = Tables(spark)
+    spark.sql("DROP TABLE IF EXISTS prefix_t")
+    tables.create("prefix_t", [("k", INTEGER), ("v", STRING)], "sorted", ("k",))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.add("prefix_t", spark.range(20_000).selectExpr("cast(id % 1000 as int) as k", "cast(id as string) as v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = tables.lookup("prefix_t", k=7)
+    assert found.count() == 20
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    read = [leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size())]
+    assert "PushedFilters: [IsNotNull(k), EqualTo(k,7)]" in plan.toString() and sum(read) <= 10_000
+    tables.drop("prefix_t")
+
+
+def test_sorted_runs_are_merged(spark, tmp_path):
+    tables = Tables(spark, f"file://{tmp_path}/home")
+    spark.sql("DROP TABLE IF EXISTS runs_t")
+    tables.create("runs_t", ATTRIBUTES, "sorted", ("a",))
+    places = set()
+    for k in range(20):
+        tables.add("runs_t", compose(spark, [f"{20 - k}|1.5|x"], ATTRIBUTES))
+        places.add(tables.properties("runs_t")["engine.location"])
+        assert [r.a for r in tables.scan("runs_t").collect()] == list(range(20 - k, 21))
+    assert len(places) == 3 and len(list((tmp_path / "home" / "quillon" / "runs_t").iterdir())) == 1
+    spark.sql("DROP TABLE runs_t")
+    again = Tables(spark, f"file://{tmp_path}/home")
+    assert again.reopen("runs_t") and again.sort_keys("runs_t") == ("a",) and again.scan("runs_t").count() == 20
+    again.drop("runs_t")
+    assert not again.reopen("runs_t") and not (tmp_path / "home" / "quillon" / "runs_t").exists()
+
+
+def test_command_line_keeps_tables(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "in.txt").write_text("1|first\n2|second\n")
+    (tmp_path / "raw.tbl").write_text("7|seven|\n")
+    spark.sql("DROP TABLE IF EXISTS kept_t")
+
+    def run(*lines):
+        monkeypatch.setattr(sys, "stdin", io.StringIO("\n".join(lines)))
+        session.main(["--home", str(tmp_path / "home"), "--data", str(tmp_path)])
+        return capsys.readouterr().out
+
+    run("CREATE TABLE kept_t (a INTEGER, c STRING) AS SORTED ON a", "INSERT 'in.txt' INTO kept_t", "EXIT")
+    assert Statistics.read(str(tmp_path / "home" / "statistics")).relations["kept_t"].rows == 2
+    spark.sql("DROP TABLE kept_t")
+    catalog = tmp_path / "home" / "catalog"
+    catalog.write_text(catalog.read_text() + "\nBEGIN\nraw_t\nraw.tbl\na Int\nc String\nEND\n")
+    for crc in (tmp_path / "home").glob(".catalog*.crc"):
+        crc.unlink()
+    shown = run("SELECT k.c, r.c FROM kept_t AS k, raw_t AS r WHERE (k.a < r.a)", "SET OUTPUT NONE", "SELECT k.c FROM kept_t AS k WHERE (k.a = 2)", "DROP TABLE kept_t")
+    assert "k_c: [first], r_c: [seven]" in shown and "Total records: 2" in shown
+    assert "#1 Select_File kept_t AS k\n    attributes: k.a int, k.c string\n    where: (k.a = 2)\n#2 Project #1" in shown
+    assert "kept_t" not in read_catalog(str(catalog)) and not Statistics.read(str(tmp_path / "home" / "statistics")).has("kept_t")
