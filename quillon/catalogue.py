@@ -80,8 +80,8 @@ SELECTS: dict[str, tuple[str, str, bool]] = {
         False,
     ),
     "sum_int": (
-        "SELECT SUM (n.n_nationkey) FROM nation AS n, region AS r WHERE (n.n_regionkey = r.r_regionkey) AND (n.n_name = 'NATION_9')",
-        "SELECT CAST(SUM(n.n_nationkey) AS BIGINT) AS sum FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND n.n_name = 'NATION_9'",
+        "SELECT SUM (o.o_custkey - c.c_nationkey) FROM customer AS c, orders AS o WHERE (o.o_custkey = c.c_custkey) AND (c.c_mktsegment = 'FURNITURE')",
+        "SELECT CAST(SUM(o.o_custkey - c.c_nationkey) AS BIGINT) AS sum FROM customer c, orders o WHERE o.o_custkey = c.c_custkey AND c.c_mktsegment = 'FURNITURE'",
         False,
     ),
     "sum_dbl": (
@@ -115,8 +115,8 @@ SELECTS: dict[str, tuple[str, str, bool]] = {
         False,
     ),
     "sum_distinct": (
-        "SELECT SUM DISTINCT (n.n_nationkey + r.r_regionkey), r.r_regionkey FROM nation AS n, region AS r, customer AS c WHERE (n.n_regionkey = r.r_regionkey) AND (n.n_nationkey = c.c_nationkey) AND (n.n_nationkey > 10) GROUP BY r.r_regionkey",
-        "SELECT CAST(SUM(DISTINCT n.n_nationkey + r.r_regionkey) AS BIGINT) AS sum, r.r_regionkey FROM nation n, region r, customer c WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey = c.c_nationkey AND n.n_nationkey > 10 GROUP BY r.r_regionkey",
+        "SELECT SUM DISTINCT (s.s_suppkey + c.c_nationkey), n.n_regionkey FROM nation AS n, supplier AS s, customer AS c WHERE (s.s_nationkey = n.n_nationkey) AND (c.c_nationkey = n.n_nationkey) AND (c.c_acctbal < 0.0) GROUP BY n.n_regionkey",
+        "SELECT CAST(SUM(DISTINCT s.s_suppkey + c.c_nationkey) AS BIGINT) AS sum, n.n_regionkey FROM nation n, supplier s, customer c WHERE s.s_nationkey = n.n_nationkey AND c.c_nationkey = n.n_nationkey AND c.c_acctbal < 0 GROUP BY n.n_regionkey",
         False,
     ),
     "sum_distinct_all": (
@@ -125,8 +125,8 @@ SELECTS: dict[str, tuple[str, str, bool]] = {
         False,
     ),
     "groupby_join": (
-        "SELECT SUM (n.n_regionkey) FROM nation AS n, region AS r WHERE (n.n_regionkey = r.r_regionkey) AND (n.n_name = 'NATION_9') GROUP BY n.n_regionkey",
-        "SELECT CAST(SUM(n.n_regionkey) AS BIGINT) AS sum, n.n_regionkey FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND n.n_name = 'NATION_9' GROUP BY n.n_regionkey",
+        "SELECT SUM (o.o_orderkey), c.c_mktsegment FROM customer AS c, orders AS o WHERE (o.o_custkey = c.c_custkey) AND (o.o_orderstatus = 'F') GROUP BY c.c_mktsegment",
+        "SELECT CAST(SUM(o.o_orderkey) AS BIGINT) AS sum, c.c_mktsegment FROM customer c, orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_mktsegment",
         False,
     ),
     "groupby_2key": (
@@ -135,13 +135,13 @@ SELECTS: dict[str, tuple[str, str, bool]] = {
         True,
     ),
     "groupby_3way": (
-        "SELECT SUM (l.l_extendedprice) FROM part AS p, supplier AS s, lineitem AS l WHERE (p.p_partkey = l.l_partkey) AND (s.s_suppkey = l.l_suppkey) AND (s.s_acctbal > 2500.0) GROUP BY s.s_suppkey",
-        "SELECT ROUND(SUM(l.l_extendedprice), 2) AS sum, s.s_suppkey FROM part p, supplier s, lineitem l WHERE p.p_partkey = l.l_partkey AND s.s_suppkey = l.l_suppkey AND s.s_acctbal > 2500.0 GROUP BY s.s_suppkey",
+        "SELECT SUM (l.l_extendedprice * l.l_discount) FROM orders AS o, lineitem AS l, supplier AS s WHERE (o.o_orderkey = l.l_orderkey) AND (l.l_suppkey = s.s_suppkey) AND (o.o_orderstatus = 'O') AND (s.s_acctbal < 4000.0) GROUP BY s.s_suppkey",
+        "SELECT ROUND(SUM(l.l_extendedprice * l.l_discount), 2) AS sum, s.s_suppkey FROM orders o, lineitem l, supplier s WHERE o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey AND o.o_orderstatus = 'O' AND s.s_acctbal < 4000 GROUP BY s.s_suppkey",
         True,
     ),
     "join_equi": (
-        "SELECT n.n_name FROM nation AS n, region AS r WHERE (n.n_regionkey = r.r_regionkey) AND (n.n_nationkey > 5)",
-        "SELECT n.n_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND n.n_nationkey > 5",
+        "SELECT o.o_orderkey, c.c_name FROM orders AS o, customer AS c WHERE (c.c_custkey = o.o_custkey) AND (o.o_totalprice > 200000.0)",
+        "SELECT o.o_orderkey, c.c_name FROM orders o, customer c WHERE c.c_custkey = o.o_custkey AND o.o_totalprice > 200000",
         False,
     ),
     "join_mn": (
@@ -180,8 +180,8 @@ SELECTS: dict[str, tuple[str, str, bool]] = {
         False,
     ),
     "join_5way": (
-        "SELECT SUM (l.l_extendedprice) FROM part AS p, lineitem AS l, supplier AS s, nation AS n, region AS r WHERE (p.p_partkey = l.l_partkey) AND (s.s_suppkey = l.l_suppkey) AND (p.p_size = 2) AND (s.s_nationkey = n.n_nationkey) AND (n.n_regionkey = r.r_regionkey) AND (r.r_name = 'AMERICA') GROUP BY n.n_name",
-        "SELECT ROUND(SUM(l.l_extendedprice), 2) AS sum, n.n_name FROM part p, lineitem l, supplier s, nation n, region r WHERE p.p_partkey = l.l_partkey AND s.s_suppkey = l.l_suppkey AND p.p_size = 2 AND s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_name = 'AMERICA' GROUP BY n.n_name",
+        "SELECT SUM (l.l_quantity) FROM customer AS c, orders AS o, lineitem AS l, part AS p, supplier AS s WHERE (c.c_custkey = o.o_custkey) AND (o.o_orderkey = l.l_orderkey) AND (p.p_partkey = l.l_partkey) AND (s.s_suppkey = l.l_suppkey) AND (p.p_size < 9) AND (c.c_mktsegment = 'BUILDING') GROUP BY s.s_nationkey",
+        "SELECT ROUND(SUM(l.l_quantity), 2) AS sum, s.s_nationkey FROM customer c, orders o, lineitem l, part p, supplier s WHERE c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND p.p_partkey = l.l_partkey AND s.s_suppkey = l.l_suppkey AND p.p_size < 9 AND c.c_mktsegment = 'BUILDING' GROUP BY s.s_nationkey",
         True,
     ),
 }
@@ -295,9 +295,10 @@ def heap_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ddl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Engine(spark)
     _, name = _own_table(spark, "test")
-    own.execute(f"CREATE TABLE {name} (a INTEGER, b DOUBLE, c STRING) AS HEAP")
-    own.tables.add(name, compose(spark, ["1|10.1|first", "2|20.2|second"], own.tables.attributes(name)))
-    return own.query(f"SELECT t.a, t.b, t.c FROM {name} AS t WHERE (t.a = t.a)")
+    own.execute(f"CREATE TABLE {name} (day STRING, price DOUBLE, pieces INTEGER) AS HEAP")
+    rows = _read(spark, sf_dir, "nation").orderBy("n_nationkey").limit(3).collect()
+    own.tables.add(name, compose(spark, [f"{r.n_name}|{r.n_nationkey}.25|{r.n_regionkey}" for r in rows], own.tables.attributes(name)))
+    return own.query(f"SELECT t.day, t.price, t.pieces FROM {name} AS t WHERE (t.day = t.day)")
 
 
 def write_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +361,7 @@ OTHERS: dict[str, tuple[Query, str]] = {
         heap_append,
         "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 5",
     ),
-    "ddl_roundtrip": (ddl_roundtrip, "SELECT * FROM (VALUES (1, 10.1e0, 'first'), (2, 20.2e0, 'second')) t(a, b, c)"),
+    "ddl_roundtrip": (ddl_roundtrip, "SELECT n_name AS day, n_nationkey + 0.25e0 AS price, n_regionkey AS pieces FROM nation ORDER BY n_nationkey LIMIT 3"),
     "write_text": (
         write_text,
         "SELECT concat('n_nationkey:[', CAST(n_nationkey AS VARCHAR), '], n_name:[', n_name, ']') AS line FROM nation",
