@@ -105,13 +105,7 @@ def test_search_tells_all_sizes():
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(80)]
     search = ngram_join.Search(list(range(80)), sets)
     for q in range(80):
-        found = set()
-        steps = search.linked(sets[q], 80)
-        step = next(steps, None)
-        while step is not None:
-            k, links = steps.send(True)
-            found |= {k} if links else set()
-            step = next(steps, None)
+        found = set(search.linked(sets[q]).tolist())
         expected = {k for k, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[q])) >= 75 * len(np.union1d(s, sets[q]))}
         assert found == expected
 
