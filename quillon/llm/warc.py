@@ -2,13 +2,13 @@
 
 Writing: each page becomes a request, a response (or revisit) and a metadata
 record that name the response in WARC-Concurrent-To. The records are text, so
-Spark's own text sink writes them, gzipped, with CRLF CRLF after each. Pages
-with long payloads go to files of few records: a file, which is read as a
-whole, stays small.
+Spark's own text sink writes them, gzipped, with CRLF CRLF after each, in one
+pass; there is a file for each task.
 
-Reading: archives are parsed by Content-Length, so payloads may hold anything.
-Records of one capture meet by the identifier of the response and give one
-nested row (request, response, metadata).
+Reading: a file streams by in parts that end with CRLF CRLF and is parsed by
+Content-Length, so payloads may hold anything and files may have any size; a
+record at a time is in memory. Records of one capture meet by the identifier
+of the response and give one nested row (request, response, metadata).
 
 Of equal payloads of at least ``min_revisit_bytes``, the one with the largest
 page_id is a response and the others are revisits of it, without payload.
@@ -23,16 +23,19 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MIN_REVISIT_BYTES = 1000
-#: Payloads up to LONG_BYTES lie RECORDS to a file, longer ones LONG_RECORDS.
-LONG_BYTES, RECORDS, LONG_RECORDS = 65_536, 512, 4
+#: What ends a record, and the headers of one.
+END = b"\r\n\r\n"
+#: Bytes of records that are handed on together.
+BATCH_BYTES = 8_000_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
@@ -61,12 +64,14 @@ def _captures(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
         .filter("copies > 1")
         .select("digest", "original")
     )
+    # Written, so that the join has two plain sides: rows of a page with very many copies can be split then.
+    groups = materialize(groups, "digests")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return rows.join(groups, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("original")))
 
 
 def warc_text(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(value, bytes): the three records of each page as one text, without the last CRLF CRLF."""
+    """(value): the three records of each page as one text, without the last CRLF CRLF."""
     rows = _captures(pages, min_revisit_bytes).withColumns({k: F.uuid() for k in ("id", "request_id", "metadata_id")})
     # A line break would end a header early; percent-encoding is what a URL has for it.
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -109,35 +114,56 @@ def warc_text(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> D
     metadata = _record(
         F.lit("metadata"), F.col("metadata_id"), [*with_uri, *concurrent, ("Content-Type", F.lit("application/warc-fields"))], about
     )
-    return rows.select(F.concat_ws("\r\n\r\n", response, request, metadata).alias("value"), "bytes")
+    return rows.select(F.concat_ws("\r\n\r\n", response, request, metadata).alias("value"))
 
 
 def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write the archives below ``path`` (folders short and long)."""
-    # The types of all records depend on all pages, so the split by size comes after.
+    """Write the archives into the folder ``path``."""
     text = warc_text(pages, min_revisit_bytes)
-    for name, part, records in (
-        ("short", F.col("bytes") <= LONG_BYTES, RECORDS),
-        ("long", F.col("bytes") > LONG_BYTES, LONG_RECORDS),
-    ):
-        writer = text.filter(part).select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-        writer.option("maxRecordsPerFile", records).text(f"{path}/{name}")
+    text.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+
+
+class RecordStream:
+    """Takes the bytes of an archive part by part, and gives its records."""
+
+    def __init__(self) -> None:
+        self.rest, self.headers = bytearray(), None
+
+    def feed(self, part: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """(headers, block) of each record that is complete now."""
+        self.rest += part
+        at = 0
+        while True:
+            if self.headers is None:
+                while self.rest[at : at + 1] in (b"\r", b"\n"):
+                    at += 1
+                end = self.rest.find(END, at)
+                if at < len(self.rest) and not self.rest.startswith(b"WARC/"[: len(self.rest) - at], at):
+                    raise ValueError(f"not a WARC record: {bytes(self.rest[at : at + 40])!r}")
+                if end < 0:
+                    break
+                lines = bytes(self.rest[at:end]).split(b"\r\n")[1:]
+                pairs = [line.partition(b":") for line in lines]
+                self.headers = {name.decode().lower(): value.strip().decode() for name, _, value in pairs}
+                at = end + len(END)
+            size = int(self.headers["content-length"])
+            if len(self.rest) - at < size:
+                break
+            headers, self.headers = self.headers, None
+            yield headers, bytes(self.rest[at : at + size])
+            at += size
+        del self.rest[:at]
+
+    def close(self) -> None:
+        if self.headers is not None or self.rest.strip():
+            raise ValueError("the archive ends within a record")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of an archive, gzipped or not."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        headers = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
-            name, _, value = line.partition(b":")
-            headers[name.decode().lower()] = value.strip().decode()
-        block = stream.read(int(headers["content-length"]))
-        yield headers, block
+    stream = RecordStream()
+    yield from stream.feed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    stream.close()
 
 
 def _fields(headers: dict[str, str], block: bytes) -> tuple:
@@ -162,21 +188,29 @@ def read_records(spark, path: str) -> DataFrame:
     kinds = [pa.string()] * 5 + [pa.int64()] * 3 + [pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stream, rows, size = None, RecordStream(), [], 0
         for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
-                for headers, block in parse_archive(content.as_py()):
+            for part, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if name != now:
+                    stream.close()
+                    now, stream = name, RecordStream()
+                for headers, block in stream.feed(part.as_py() + END):
                     rows.append(_fields(headers, block))
                     size += len(block)
-                    if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    if size > BATCH_BYTES:
+                        yield batch_of(rows)
                         rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        stream.close()
+        if rows:
+            yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(parse, RECORD_SCHEMA)
+    # Gzipped files are not split, so a task gets the parts of a file in order.
+    parts = spark.read.option("lineSep", END.decode()).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+    return parts.select(F.col("value").cast("binary"), "_metadata.file_path").mapInArrow(parse, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame, payload: bool = True) -> DataFrame:

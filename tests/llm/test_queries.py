@@ -5,11 +5,12 @@ from __future__ import annotations
 import glob
 import os
 import random
+import time
 
 import duckdb
 import pytest
 
-from quillon.llm import chat_format, piece_bpe, queries, toxicity, warc
+from quillon.llm import chat_format, piece_bpe, queries, toxicity, url_filter, warc
 
 
 def test_warc_query_assembles_payloads(spark, tmp_path, monkeypatch):
@@ -91,3 +92,40 @@ def test_pieces_do_not_depend_on_what_is_cached(monkeypatch):
 def test_piece_table_is_kept_by_process():
     model = queries.tokenizer_path(queries.PIECES)
     assert piece_bpe.piece_table(model) is piece_bpe.piece_table(model)
+
+
+def test_urls_in_several_passes(spark, monkeypatch):
+    rng = random.Random(1)
+    rules = list({(h, p): (rng.choice(["block", "allow"]), h, p) for h, p in ((rng.choice(["com", "a.com", "b.a.com", "net"]), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 4)))) for _ in range(60))}.values())
+    urls = [f"http://{rng.choice(['com', 'a.com', 'x.a.com', 'b.a.com', 'net', 'org'])}/{''.join(rng.choice('ab/') for _ in range(rng.randint(0, 6)))}" for _ in range(300)]
+    expected = {}
+    for n, url in enumerate(urls):
+        host, path = url_filter.split_url(url)
+        fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = max(fits, key=lambda r: (r[1].count("."), len(r[2])), default=None)
+        expected[n] = (best[1] + best[2], best[0]) if best else (None, "allow")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most in (1_000_000, 7):
+        monkeypatch.setattr(url_filter, "MAX_RULES", most)
+        assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()} == expected
+
+
+def test_many_rules_of_one_host_take_no_longer():
+    trie = url_filter.build_trie([("block", "com", f"/p{k}x") for k in range(200_000)])
+    began = time.time()
+    assert all(url_filter.longest_match(trie, "a.com", f"/p{k}x/y")[0] == f"com/p{k}x" for k in range(0, 200_000, 10))
+    assert time.time() - began < 5
+
+
+def test_archives_stream_by_in_any_parts():
+    blocks = [b"", b"\r\n", b"a\r\n\r\n", b"\r\n\r\n\r\nWARC/1.1\r\n", b"x" * 5000, b"\r\n\r\n"]
+    data = b"".join(b"WARC/1.1\r\nN: %d\r\nContent-Length: %d\r\n\r\n" % (k, len(b)) + b + b"\r\n\r\n" for k, b in enumerate(blocks))
+    for size in (1, 7, 100, len(data)):
+        stream = warc.RecordStream()
+        found = [r for at in range(0, len(data), size) for r in stream.feed(data[at : at + size])]
+        stream.close()
+        assert [b for _, b in found] == blocks and [h["n"] for h, _ in found] == [str(k) for k in range(len(blocks))]
+    stream = warc.RecordStream()
+    list(stream.feed(data[:-9]))
+    with pytest.raises(ValueError, match="ends within a record"):
+        stream.close()
