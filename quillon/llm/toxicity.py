@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import MARKS, SLICE, WordHasher, cut, groups
+from .wordhash import MARKS, SLICE, WordHasher, groups
 
 #: Bounds of the fit: labelled rows, voters, weights.
 MAX_TRAIN, MAX_VOTERS, MAX_WEIGHTS = 6_000, 200, 20_000
@@ -61,8 +61,7 @@ def text_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
     mask = np.uint64((1 << FEATURE_BITS) - 1)
     for first, count, data, starts in groups(texts):
         if len(data) > SLICE:
-            parts = [hasher.features(p, np.zeros(1, np.int64), BEGINNINGS)[0] & mask for p in cut(data, MARKS)]
-            pairs = np.unique(np.concatenate([np.unique(p) for p in parts]))
+            pairs = np.unique(hasher.long_features(data, BEGINNINGS) & mask)
         else:
             hashes, rows = hasher.features(data, starts, BEGINNINGS)
             pairs = np.unique((rows.astype(np.uint64) << np.uint64(FEATURE_BITS)) | (hashes & mask))

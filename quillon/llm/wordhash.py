@@ -117,22 +117,36 @@ class WordHasher:
             texts.append(text[longer])
         return np.concatenate(hashes), np.concatenate(texts)
 
-    def long(self, data: np.ndarray) -> np.ndarray:
-        """Hashes of the words of one text of any size, in slices that end between words."""
-        parts, at = [], 0
+    def _pieces(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+        """A text in pieces of at most SLICE bytes that end between words, and
+        whether a piece is one word that is longer than that."""
+        at = 0
         while at < len(data):
             end = min(at + SLICE, len(data))
+            one = False
             if end < len(data):
                 ends = np.flatnonzero(self.separators[data[at:end]])
-                if not len(ends):
-                    end = self._word_end(data, end)
-                    parts.append(np.array([_digest(self._fold(data[at:end]))], U64))
-                    at = end
-                    continue
-                end = at + int(ends[-1]) + 1
-            parts.append(self.group(data[at:end], np.zeros(1, np.int64))[0])
+                one = not len(ends)
+                end = self._word_end(data, end) if one else at + int(ends[-1]) + 1
+            yield data[at:end], one and end - at > SLICE
             at = end
-        return np.concatenate(parts) if parts else np.zeros(0, U64)
+
+    def long(self, data: np.ndarray) -> np.ndarray:
+        """Hashes of the words of one text of any size."""
+        parts = [np.zeros(0, U64)]
+        for piece, one in self._pieces(data):
+            parts.append(np.array([_digest(self._fold(piece))], U64) if one else self.group(piece, np.zeros(1, np.int64))[0])
+        return np.concatenate(parts)
+
+    def long_features(self, data: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+        """``features`` of one text of any size."""
+        parts = [np.zeros(0, U64)]
+        for piece, one in self._pieces(data):
+            own = self.features(piece[:SLICE], np.zeros(1, np.int64), lengths)[0]
+            if one:  # the first is of the whole word, the others are of its beginnings
+                own[0] = _digest(self._fold(piece))
+            parts.append(own)
+        return np.concatenate(parts)
 
     def _word_end(self, data: np.ndarray, at: int) -> int:
         """Where the word that goes on at ``at`` ends."""
@@ -185,16 +199,3 @@ def shingles(words: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, n
         total = total + words[j : n + j] * _PLACE[j]
     whole = np.flatnonzero(text[:n] == text[k - 1 :])
     return mix(total[whole] + _SHORT[k % 8]), whole
-
-
-def cut(data: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in pieces of at most SLICE bytes, cut where a word ends (or
-    inside a word that is longer than a piece)."""
-    at = 0
-    while at < len(data):
-        end = min(at + SLICE, len(data))
-        if end < len(data):
-            ends = np.flatnonzero(separators[data[at:end]])
-            end = at + int(ends[-1]) + 1 if len(ends) else end
-        yield data[at:end]
-        at = end

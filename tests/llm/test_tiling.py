@@ -73,3 +73,16 @@ def test_long_words_that_polynomials_confuse():
     assert hashes[0] == hashes[2] != hashes[1]
     far = "y " * (SLICE // 2) + "z" * (SLICE + 9) + " " + a
     assert hasher.long(np.frombuffer(far.encode(), np.uint8))[-1] == hashes[0]
+
+
+def test_features_of_long_texts_do_not_depend_on_slices(monkeypatch):
+    from quillon.llm import wordhash
+
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdeÉ") for _ in range(rng.choice([1, 5, 9, 70, 300]))) for _ in range(400)).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole = WordHasher().features(data, np.zeros(1, np.int64), (4, 8))[0]
+    monkeypatch.setattr(wordhash, "SLICE", 100)
+    small = WordHasher()
+    assert sorted(small.long_features(data, (4, 8)).tolist()) == sorted(whole.tolist())
+    assert small.long(data).tolist() == WordHasher().long(data).tolist() and len(small.long(data)) == 400
