@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ def discard(spark: SparkSession, path: str) -> None:
         return
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage, for Spark to remove the shuffle files of plans that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: this cuts the
     lineage, and survives lost executors. Shuffle files of earlier steps are of
@@ -55,8 +63,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Spark remove them."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -69,6 +76,15 @@ def release(*frames: DataFrame) -> None:
         discard(df.sparkSession, df._scratch)
 
 
+def give_back() -> None:
+    """In a worker process at the end of a task: hand free memory back to the
+    system, as the process waits for other tasks, of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Text of ASCII alone takes the fast way."""
     plain = F.octet_length(text) == F.length(text)

@@ -32,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 SPACE = "▁"
 #: Words in the cache and bits of its slots; bits of the slots of the table of pairs.
-WORDS, WORD_BITS, PAIR_BITS = 1_000_000, 21, 20
+WORDS, WORD_BITS, PAIR_BITS = 500_000, 20, 20
 #: Words of more bytes are kept in a dict, shorter ones as two numbers.
 SHORT, PROBES = 15, 8
 #: Stands for the start of a word in place of a piece; ids are smaller.
@@ -43,7 +45,7 @@ START = (1 << SHIFT) - 1
 #: Words of more characters are read one by one, others side by side.
 LONG = 200
 #: Rows and bytes of text that are encoded at a time.
-SLICE_ROWS, SLICE_BYTES = 512, 4_000_000
+SLICE_ROWS, SLICE_BYTES = 256, 1_500_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = "doc_id long, input_ids array<int>"
 #: Where a worker process keeps its tables from task to task, by path.
@@ -335,7 +337,7 @@ class Words:
         self.value = np.zeros(1 << WORD_BITS, np.int32)
         self.long: dict[bytes, int] = {}
         self.n = self.n_ids = 0
-        self.at, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        self.at, self.count, self.ids = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
 
     def add(self, found: list[list[int]]) -> np.ndarray:
         """Numbers of new words with these ids."""
@@ -412,6 +414,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
             ids, edges = pieces.encode_arrays([t or "" for t in batch.column(1).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "input_ids"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, IDS_SCHEMA)
 
@@ -444,5 +447,6 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 [batch.column(0), pa.array(np.diff(edges), pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digests, SCHEMA)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .wordhash import MARKS, SLICE, WordHasher, groups
 
 #: Bounds of the fit: labelled rows, voters, weights.
@@ -254,5 +255,6 @@ def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = 0.5) -> Da
             for first, count, rows, features in text_features(batch.column(at)):
                 scores[first : first + count] = model.score(count, rows, features)
             yield batch.filter(pa.array(scores < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
