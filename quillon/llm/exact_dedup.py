@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, release
 
 BLOCK_CHARS = 4096
 BUCKETS = 1 << 20
@@ -52,14 +52,12 @@ def _digest(block: Column, seed: int, bits: int) -> tuple[Column, Column]:
 
 
 def _blocks(texts: DataFrame, block_chars: int) -> DataFrame:
-    """(doc, tag, n, idx, block): the blocks of every text, an empty text has one."""
+    """The columns of ``texts`` but norm, and n, idx and block: the blocks of every text; an empty text has one."""
     cut = F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
-    return (
-        texts.withColumn("blocks", cut)
-        .withColumn("n", F.greatest(F.size("blocks"), F.lit(1)))
-        .select("doc", "tag", "n", F.posexplode_outer("blocks").alias("idx", "block"))
-        .select("doc", "tag", "n", F.coalesce("idx", F.lit(0)).alias("idx"), F.coalesce("block", F.lit("")).alias("block"))
-    )
+    own = [c for c in texts.columns if c != "norm"]
+    cut = texts.withColumn("blocks", cut).withColumn("n", F.greatest(F.size("blocks"), F.lit(1)))
+    rows = cut.select(*own, "n", F.posexplode_outer("blocks").alias("idx", "block"))
+    return rows.withColumns({"idx": F.coalesce("idx", F.lit(0)), "block": F.coalesce("block", F.lit(""))})
 
 
 def block_names(
@@ -68,21 +66,23 @@ def block_names(
     """(doc, tag, sha, level, name) for each row of ``docs`` (doc_id, text)."""
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select(F.col("doc_id").alias("doc"), norm.alias("norm"))
-    texts = texts.withColumn("tag", F.xxhash64("norm"))
     seed = 0
     while True:
         first, second = _digest(F.col("block"), seed, digest_bits if seed == 0 else 64)
-        rows = _blocks(texts, block_chars).withColumns({"d1": first, "d2": second})
-        kinds = materialize(
-            rows.select("d1", "d2", "block").distinct().groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("kinds")),
-            "block-kinds",
-        )
+        blocks = _blocks(texts, block_chars).select(first.alias("d1"), second.alias("d2"), "block").distinct()
+        kinds = materialize(blocks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("kinds")), "block-kinds")
         if kinds.filter("kinds > 1").isEmpty():
             break
+        release(kinds)
         seed += 1
+    # A second pass over the texts, the last: digests of blocks, and of the text beside its first block.
+    whole = texts.withColumns({"tag": F.xxhash64("norm"), "sha": F.sha2("norm", 256)})
+    rows = _blocks(whole, block_chars).withColumns({"d1": first, "d2": second, "sha": F.when(F.col("idx") == 0, F.col("sha"))}).drop("block")
+    rows = materialize(rows, "block-digests")
     names = _rank_names(kinds.select("d1", "d2"), ["d1", "d2"])
-    current = rows.select("doc", "tag", "n", "idx", "d1", "d2").join(names, ["d1", "d2"])
+    current = rows.drop("sha").join(names, ["d1", "d2"])
     current = materialize(current.select("doc", "tag", "n", "idx", "name"), "block-names")
+    release(kinds)
     level, done = 0, []
     longest = current.agg(F.max("n")).first()[0] or 0
     while True:
@@ -108,7 +108,7 @@ def block_names(
     for part in done[1:]:
         ids = ids.unionByName(part)
     ids = ids.distinct()
-    meta = texts.select("doc", "tag", F.sha2("norm", 256).alias("sha"))
+    meta = rows.filter("idx = 0").select("doc", "tag", "sha")
     return meta.join(ids, meta["doc"].eqNullSafe(ids["doc"]) & (meta["tag"] == ids["tag"])).select(
         meta["doc"], meta["tag"], "sha", "level", "name"
     )
@@ -124,6 +124,8 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, digest_bits: in
     groups = ids.groupBy("level", "name").agg(
         F.max("doc").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
+    # Written, so that the join has two plain sides: the rows of a very large group can be split then.
+    groups = materialize(groups, "groups")
     return ids.join(groups, ["level", "name"]).select(
         F.col("doc").alias("doc_id"),
         "keep_id",
