@@ -56,7 +56,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, tidy
 
 MIN_WORDS = 25
 STRIDE = 1 << 24
@@ -92,10 +92,10 @@ def _blanks(unit: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    """Whether words are parted by single blanks and line breaks alone, so that
-    words within a unit are its inner blanks + 1."""
-    odd = [F.contains(text, F.lit("  ")), F.startswith(text, F.lit(" ")), F.rlike(text, F.lit(r"[\t\x0b\f\r\x85\xa0]")), F.rlike(text, F.lit(FAR))]
-    return ~reduce(lambda a, b: a | b, odd)
+    """Whether words are parted by single blanks and line breaks alone, and no
+    wide forms are there, so that words within a unit are its inner blanks + 1."""
+    odd = F.contains(text, F.lit("  ")) | F.startswith(text, F.lit(" "))
+    return ~(odd | F.rlike(text, F.lit(rf"[\t\x0b\f\r\x85\xa0{FAR[1:-1]}]")))
 
 
 def n_words(unit: Column, plain: Column | None = None) -> Column:
@@ -116,10 +116,10 @@ def _cut(text: Column, pattern: str, mark: str, join: str = "") -> Column:
     return F.split(F.regexp_replace(marked, F.lit(join.replace("@", mark)), F.lit("")) if join else marked, mark)
 
 
-def _sentences(text: Column, mark: str) -> Column:
+def _sentences(text: Column, mark: str, plain: Column) -> Column:
     """Lines, cut at sentence ends; a sentence of one word goes with the one before it."""
     far, near = (_cut(text, rx, mark, ONE_WORD) for rx in (BREAK, NEAR_BREAK))
-    return F.when(F.rlike(text, F.lit(FAR)), far).otherwise(near)
+    return F.when(plain | ~F.rlike(text, F.lit(FAR)), near).otherwise(far)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -178,7 +178,7 @@ def units(text: Column, most: int = _most(MIN_WORDS)) -> Column:
     on whether a sentence of one word follows them) alone."""
 
     def cut(plain: Column, mark: str) -> Column:
-        parts = F.transform(_sentences(text, mark), lambda u: F.when(_long(u, most, plain), _parts(u, most, plain, mark)).otherwise(F.array(u)))
+        parts = F.transform(_sentences(text, mark, plain), lambda u: F.when(_long(u, most, plain), _parts(u, most, plain, mark)).otherwise(F.array(u)))
         return F.flatten(parts)
 
     def choice(plain: Column) -> Column:
@@ -295,11 +295,16 @@ def segments(hashes: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS)
     return found.select("doc", F.col("segment").cast("int").alias("pos"), "first.key", "first.start", "units", "words")
 
 
-def _named(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` (key, doc, pos, ...) whose key occurs more than once, with ``name``."""
+def _named(rows: DataFrame, key: list[str], columns: list[str], label: str) -> DataFrame:
+    """``columns`` and ``name`` of those of ``rows`` (key, doc, pos, ...) whose
+    key occurs more than once. The names are written first: a join of two plain
+    sides is one whose rows AQE can split where very many have one key."""
     at = F.col("doc") * STRIDE + F.col("pos")
     names = rows.groupBy(*key).agg(F.min(at).alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(names, key)
+    names = materialize(names, "group-names")
+    out = materialize(rows.join(names, key).select(*columns, "name"), label)
+    release(names)
+    return out
 
 
 def run_names(level: DataFrame, min_words: int = MIN_WORDS) -> list[DataFrame]:
@@ -315,7 +320,9 @@ def run_names(level: DataFrame, min_words: int = MIN_WORDS) -> list[DataFrame]:
         pairs = level.withColumns({"b": F.first("name").over(after), "words_b": F.first("words").over(after), "last": F.first("last").over(after)})
         pairs = pairs.filter("b is not null").withColumn("words", F.col("words") + F.col("words_b")).withColumnRenamed("name", "a")
         pairs = pairs.filter(F.col("words") - F.greatest("first", "last") < min_words)
-        level = materialize(_named(pairs, ["a", "b"]).select("doc", "pos", "name", "words", "first", "last"), "runs")
+        pairs = materialize(pairs, "pairs")
+        level = _named(pairs, ["a", "b"], ["doc", "pos", "words", "first", "last"], "runs")
+        release(pairs)
         k += 1
         out.append(level)
     return out
@@ -341,7 +348,7 @@ def _candidates(level: DataFrame, min_words: int) -> DataFrame:
         run("ahead", F.col("pos"), F.col("start").cast("long")),
         run("behind", (F.col("pos") - F.col("behind_n") + 1).cast("int"), F.col("start") + F.col("units") - F.col("behind_units")),
     )
-    return rows.select("doc", F.inline(F.array_distinct(both))).filter(F.col("words") >= min_words).drop("words").distinct()
+    return rows.select("doc", F.inline(both)).filter(F.col("words") >= min_words).drop("words").distinct()
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -354,7 +361,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return materialize(_merged(own), "cuts")
     keyed = materialize(segments(hashes, classes, min_words), "segments")
     release(hashes, classes)
-    level = materialize(_named(keyed, ["key"]).drop("key"), "names")
+    level = _named(keyed, ["key"], ["doc", "pos", "start", "units", "words"], "names")
     release(keyed)
     levels = run_names(level, min_words)
     names = reduce(DataFrame.unionByName, [one.select("doc", "pos", F.lit(k).alias("k"), "name") for k, one in enumerate(levels)])
@@ -364,10 +371,13 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.join(names.select("doc", F.col("pos").alias("second"), "k", F.col("name").alias("b")), ["doc", "second", "k"])
     runs = materialize(runs.select("doc", "pos", "length", "start", "end", "a", "b"), "candidates")
     release(*levels)
-    found = _named(runs, ["a", "b", "length"])
-    found = found.filter(F.col("name") < F.col("doc") * STRIDE + F.col("pos")).select("doc", "start", "end")
+    if runs.isEmpty():
+        release(runs)
+        return materialize(_merged(own), "cuts")
+    named = _named(runs, ["a", "b", "length"], ["doc", "pos", "start", "end"], "found")
+    found = named.filter(F.col("name") < F.col("doc") * STRIDE + F.col("pos")).select("doc", "start", "end")
     cuts = materialize(_merged(found.unionByName(own)), "cuts")
-    release(runs, own)
+    release(runs, named, own)
     return cuts
 
 
@@ -395,6 +405,11 @@ def _cut_rows(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, text, new_text, n_removed, cuts, rest)"""
     rows = _numbered(docs)
     cuts = later_copies(rows.select("doc", "text"), min_words)
+    nothing = cuts.isEmpty()
+    tidy(docs.sparkSession)
+    if nothing:
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        return rows.select("doc_id", "text", F.col("text").alias("new_text"), F.lit(0).cast("long").alias("n_removed"), none.alias("cuts"), "rest")
     # Not by broadcast, also where it would do: the cuts grow with the documents.
     joined = rows.join(cuts.hint("merge"), "doc", "left")
     joined = joined.withColumn("units", F.when(F.col("cuts").isNotNull(), units(F.col("text"), _most(min_words))))
