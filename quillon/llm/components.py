@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 JUMPS = 3
 
@@ -24,19 +24,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     labels = edges.select(F.explode(F.array("high", "low")).alias("node")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
-        hooks = edges.groupBy("high").agg(F.min("low").alias("to"))
+        hooks = materialize(edges.groupBy("high").agg(F.min("low").alias("to")), "hooks")
         for _ in range(JUMPS):
-            hooks = materialize(hooks, "hooks")
             next_hooks = hooks.select(F.col("high").alias("via"), F.col("to").alias("further"))
-            hooks = hooks.join(next_hooks, hooks["to"] == next_hooks["via"], "left").select("high", F.coalesce("further", "to").alias("to"))
-        hooks = materialize(hooks, "hooks")
-        labels = materialize(
-            labels.join(hooks, labels["label"] == hooks["high"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels"
-        )
+            longer = hooks.join(next_hooks, hooks["to"] == next_hooks["via"], "left").select("high", F.coalesce("further", "to").alias("to"))
+            longer = materialize(longer, "hooks")
+            release(hooks)
+            hooks = longer
+        labelled = labels.join(hooks, labels["label"] == hooks["high"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        labelled = materialize(labelled, "labels")
+        if hasattr(labels, "_scratch"):
+            release(labels)
+        labels = labelled
         ends = hooks.select(F.col("high").alias("key"), F.col("to").alias("new"))
-        edges = edges.join(ends, edges["high"] == ends["key"]).select(F.col("new").alias("x"), "low")
-        edges = edges.join(ends, edges["low"] == ends["key"], "left").select("x", F.coalesce("new", "low").alias("y"))
-        edges = materialize(
-            edges.filter("x <> y").select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).distinct(), "edges"
-        )
+        moved = edges.join(ends, edges["high"] == ends["key"]).select(F.col("new").alias("x"), "low")
+        moved = moved.join(ends, moved["low"] == ends["key"], "left").select("x", F.coalesce("new", "low").alias("y"))
+        moved = moved.filter("x <> y").select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).distinct()
+        moved = materialize(moved, "edges")
+        release(edges, hooks)
+        edges = moved
     return labels

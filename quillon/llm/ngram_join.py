@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import connected_components
 from .wordhash import WordHasher, shingles
 
@@ -476,7 +476,9 @@ def ngram_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataF
     frequent = _tokens(often.filter(F.col("count") >= least))
     for _ in range(SURVEYS):
         counted = inverted_rows(docs, frequent).select("token").groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-        frequent = np.union1d(frequent, _tokens(materialize(counted.filter(F.col("count") > MOVE), "long-lists")))
+        counted = materialize(counted.filter(F.col("count") > MOVE), "long-lists")
+        frequent = np.union1d(frequent, _tokens(counted))
+        release(counted)
 
     pairs = candidates(inverted_rows(docs, frequent)).groupBy("a", "b").agg(
         F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"),
@@ -492,24 +494,28 @@ def ngram_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataF
     clusters = connected_components(edges).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
 
     classes = sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    members = materialize(clusters.join(classes, "class"), "members")
+    plain = members = materialize(clusters.join(classes, "class"), "members")
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("sets"))
     sizes = sizes.withColumn("blocks", F.ceil(F.col("weight") / block_tokens).cast("long"))
     members = members.join(sizes, "cluster")
     members = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     every = F.greatest((F.col("sets") / SHARED_SETS).cast("long"), F.lit(1))
     shared = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), every) == 0)
-    members = materialize(_with_sets(docs, sets, members.withColumn("shared", shared)), "member-sets")
+    whole = materialize(_with_sets(docs, sets, members.withColumn("shared", shared)), "member-sets")
+    release(plain)
+    members = whole
     no = F.lit(False).alias("query"), F.lit(0).cast("long").alias("label")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     rows = members.filter("not shared").select("cluster", "block", *no, "class", "tokens")
     rows = rows.unionByName(members.filter("shared").select("cluster", everywhere, *no, "class", "tokens"))
     links = materialize(block_links(rows), "links")
+    done = [whole, links]
     if not members.filter("blocks > 1").isEmpty():
         # Every set gets a label here, also one that has no link yet.
         known = connected_components(links).select(F.col("node").alias("class"), "label")
         large = members.filter("blocks > 1").join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
         large = materialize(large, "large-clusters")
+        done.append(large)
         parts = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
         main = parts.groupBy("cluster").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
         queries = large.join(main, "cluster").filter("label <> main")
@@ -518,8 +524,11 @@ def ngram_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataF
         )
         # A block without queries has nothing to find; its rows would be searched within.
         asked = queries.select("cluster").distinct()
-        links = links.unionByName(materialize(block_links(rows.join(asked, "cluster", "left_semi")), "links"))
-    labels = connected_components(links).select(F.col("node").alias("class"), "label")
+        done.append(materialize(block_links(rows.join(asked, "cluster", "left_semi")), "links"))
+        links = links.unionByName(done[-1])
+    found = connected_components(links)
+    release(*done)
+    labels = found.select(F.col("node").alias("class"), "label")
     classes = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = classes.join(smallest, "label").select("class", "component_id")
