@@ -22,12 +22,11 @@ occur at two places, 25 or more are whole units at both.
    follows it, both are one segment: unary paths of the suffix tree are
    contracted before any sorting. A document that is copied whole is one
    segment, whatever its length.
-3. Prefix doubling names the repeated runs of 1, 2, 4, ... segments: a run's
-   name is the smallest position where it occurs, so two runs of one length are
-   equal exactly if their names are. Names serve as ranks, as only their
-   equality is used. What occurs once is dropped; the rest are the branching
-   nodes of the suffix tree. Doubling ends at the length that ``min_words``
-   words can have.
+3. Prefix doubling names the runs of 1, 2, 4, ... segments: a run's name is a
+   64-bit digest of the names of its halves, so names of all lengths are made in
+   one pass over a document's segments, for the runs that begin and those that
+   end at each. Names serve as ranks, as only their equality is used. Doubling
+   ends at the length that ``min_words`` words can have.
 4. Intervals. All suffixes that begin with one run of ``min_words`` words are a
    longest-common-prefix interval; its name is two names of 2**k that overlap.
    The first copy of an interval's run (smallest doc_id, then position) stays
@@ -51,9 +50,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import materialize, release, tidy
@@ -76,7 +74,7 @@ _SIGNS = rf"[^\p{{L}}\p{{N}}{SPACE}]{{0,64}}+"
 BREAK = rf"[\n{STOPS}{WIDE_STOPS}](?:(?<=\n)|(?<=[{WIDE_STOPS}]){_SIGNS}|{_SIGNS}[{SPACE}])[{SPACE}]*+(?!\z)"
 NEAR_BREAK = rf"[\n{NEAR_STOPS}](?:(?<=\n)|{_SIGNS}[{NEAR_SPACE}])[{NEAR_SPACE}]*+(?!\z)"
 #: The mark of a break before a sentence of one word, where no line ends.
-ONE_WORD = rf"(?<!\n)@(?=[^{NEAR_SPACE}@]++ @)"
+ONE_WORD = rf"@(?<!\n@)(?=[^{NEAR_SPACE}@]++ @)"
 #: Letters of writing without spaces; each counts as a word.
 ALONE = r"\u0e01-\u0eff\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}"
 WORD = rf"[{ALONE}]|[^{SPACE}{ALONE}]++"
@@ -190,11 +188,6 @@ def units(text: Column, most: int = _most(MIN_WORDS)) -> Column:
     return _let(_plain(text), choice)
 
 
-def _trimmed(unit: Column, plain: Column) -> Column:
-    """Without white space around."""
-    return F.when(plain, F.btrim(unit, F.lit(" \n"))).otherwise(F.btrim(unit, F.lit(SPACES)))
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, text, rest): ``doc`` is a small number, unique, in order of
     doc_id; ``rest`` has all columns of the row as they were."""
@@ -222,7 +215,8 @@ def unit_hashes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     refused = F.raise_error(F.lit(f"a text has more than {STRIDE} units")).cast(cut.schema["units"].dataType)
     cut = cut.withColumn("units", F.when(F.size("units") > STRIDE, refused).otherwise(F.col("units")))
     plain = F.col("plain")
-    each = cut.withColumn("units", F.transform("units", lambda u: _trimmed(u, plain))).select(
+    trimmed = F.when(plain, F.transform("units", lambda u: F.btrim(u, F.lit(" \n")))).otherwise(F.transform("units", lambda u: F.btrim(u, F.lit(SPACES))))
+    each = cut.withColumn("units", trimmed).select(
         "doc",
         F.transform("units", lambda u: F.xxhash64(u)).alias("keys"),
         F.transform("units", lambda u: n_words(u, plain).cast("int")).alias("words"),
@@ -277,29 +271,31 @@ def unit_classes(hashes: DataFrame) -> DataFrame:
 
 
 def segments(hashes: DataFrame, classes: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos, key, start, units, words): stretches of adjacent repeated units
-    with ``min_words`` words or more, as segments. ``pos`` numbers a document's
-    segments and leaves out a number between two stretches."""
+    """(doc, stretch, start, key, units, words): stretches of adjacent repeated
+    units with ``min_words`` words or more, as segments."""
     start = F.coalesce(F.get("starts", F.col("pos")), F.col("pos"))
     times = F.when(F.col("starts").isNull(), 1).otherwise(F.coalesce(F.get("starts", F.col("pos") + 1), F.col("n")) - start)
-    rows = _rows(hashes, F.col("doc"), start.alias("start"), times.alias("units"), F.get("words", F.col("pos")).alias("words"))
-    rows = rows.join(classes, "key")
-    order = Window.partitionBy("doc").orderBy("pos")
-    rows = rows.withColumns({"stretch": F.col("pos") - F.row_number().over(order), "before": F.lag("pos").over(order), "open": F.lag("one_right").over(order)})
-    adjacent = F.coalesce(F.col("before") == F.col("pos") - 1, F.lit(False))
-    opens = F.when(~adjacent, 2).when(F.col("one_left") & F.col("open"), 0).otherwise(1)
-    rows = rows.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(order))
+    # Two numbers of a unit in a long: these are the rows that most are of.
+    sizes = F.shiftleft(times.cast("long"), 32) + F.get("words", F.col("pos"))
+    rows = _rows(hashes, (F.col("doc") * STRIDE + start).alias("at"), sizes.alias("sizes")).drop("pos").join(classes, "key")
+    rows = rows.withColumns({"doc": F.expr(f"at div {STRIDE}"), "start": F.col("at") % STRIDE})
+    rows = rows.withColumns({"units": F.shiftright("sizes", 32), "words": F.col("sizes").bitwiseAND((1 << 32) - 1)}).drop("at", "sizes")
+    order = Window.partitionBy("doc").orderBy("start")
+    rows = rows.withColumns({"before": F.lag(F.col("start") + F.col("units")).over(order), "open": F.lag("one_right").over(order)})
+    adjacent = F.coalesce(F.col("before") == F.col("start"), F.lit(False))
+    rows = rows.withColumns({"apart": (~adjacent).cast("int"), "opens": F.when(adjacent & F.col("one_left") & F.col("open"), 0).otherwise(1)})
+    rows = rows.withColumns({"stretch": F.sum("apart").over(order), "segment": F.sum("opens").over(order)})
     first = F.min(F.struct("start", "key"))
     found = rows.groupBy("doc", "stretch", "segment").agg(first.alias("first"), F.sum("units").alias("units"), F.sum("words").alias("words"))
     found = found.withColumn("all_words", F.sum("words").over(Window.partitionBy("doc", "stretch"))).filter(F.col("all_words") >= min_words)
-    return found.select("doc", F.col("segment").cast("int").alias("pos"), "first.key", "first.start", "units", "words")
+    return found.select("doc", "stretch", "first.start", "first.key", "units", "words")
 
 
 def _named(rows: DataFrame, key: list[str], columns: list[str], label: str) -> DataFrame:
-    """``columns`` and ``name`` of those of ``rows`` (key, doc, pos, ...) whose
+    """``columns`` and ``name`` of those of ``rows`` (key, doc, start, ...) whose
     key occurs more than once. The names are written first: a join of two plain
     sides is one whose rows AQE can split where very many have one key."""
-    at = F.col("doc") * STRIDE + F.col("pos")
+    at = F.col("doc") * STRIDE + F.col("start")
     names = rows.groupBy(*key).agg(F.min(at).alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     names = materialize(names, "group-names")
     out = materialize(rows.join(names, key).select(*columns, "name"), label)
@@ -307,48 +303,46 @@ def _named(rows: DataFrame, key: list[str], columns: list[str], label: str) -> D
     return out
 
 
-def run_names(level: DataFrame, min_words: int = MIN_WORDS) -> list[DataFrame]:
-    """By k, (doc, pos, name, words, ...): the repeated runs of 2**k segments at
-    each position, from those of one. Doubling ends where a run has
-    ``min_words`` words without its first and without its last segment: longer
-    runs are made of such."""
-    out, k = [level], 0
-    level = level.select("doc", "pos", "name", "words", F.col("words").alias("first"), F.col("words").alias("last"))
-    while 2 << k <= min_words and not level.isEmpty():
-        # The run that begins where this one ends.
-        after = Window.partitionBy("doc").orderBy("pos").rangeBetween(1 << k, 1 << k)
-        pairs = level.withColumns({"b": F.first("name").over(after), "words_b": F.first("words").over(after), "last": F.first("last").over(after)})
-        pairs = pairs.filter("b is not null").withColumn("words", F.col("words") + F.col("words_b")).withColumnRenamed("name", "a")
-        pairs = pairs.filter(F.col("words") - F.greatest("first", "last") < min_words)
-        pairs = materialize(pairs, "pairs")
-        level = _named(pairs, ["a", "b"], ["doc", "pos", "words", "first", "last"], "runs")
-        release(pairs)
-        k += 1
-        out.append(level)
-    return out
-
-
-def _candidates(level: DataFrame, min_words: int) -> DataFrame:
-    """(doc, pos, length, start, end): the shortest runs of ``min_words`` words that begin or end at a segment."""
-    order = Window.partitionBy("doc").orderBy("pos")
-    rows = level.withColumns({"stretch": F.col("pos") - F.row_number().over(order), "upto": F.sum("words").over(order)})
-    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
+def run_names(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``segments`` with the names of the runs of 1, 2, 4, ... segments that
+    begin (``ahead``) and that end (``behind``) at each: null beyond its
+    stretch. A run that counts has ``min_words`` segments at most."""
+    order = Window.partitionBy("doc", "stretch").orderBy("start")
+    names = segments.withColumns({"ahead_0": F.col("key"), "behind_0": F.col("key")})
+    size = min_words.bit_length()
+    for k in range(1, size):
+        far = 1 << (k - 1)
+        near, next_one, last_one = f"_{k - 1}", F.lead(f"ahead_{k - 1}", far).over(order), F.lag(f"behind_{k - 1}", far).over(order)
+        names = names.withColumns({"next": next_one, "last": last_one})
+        names = names.withColumns({
+            f"ahead_{k}": F.when(F.col("next").isNotNull(), F.xxhash64("ahead" + near, "next")),
+            f"behind_{k}": F.when(F.col("last").isNotNull(), F.xxhash64("last", "behind" + near)),
+        })
+    sides = [F.array(*[f"{side}_{k}" for k in range(size)]).alias(side) for side in ("ahead", "behind")]
+    return names.select("doc", "stretch", "start", "units", "words", *sides)
+
+
+def _candidates(names: DataFrame, min_words: int) -> DataFrame:
+    """(doc, start, end, length, a, b): the shortest runs of ``min_words`` words
+    that begin or end at a segment, each by its two names of 2**k segments that overlap."""
     whole = Window.partitionBy("doc", "stretch")
+    rows = names.withColumn("upto", F.sum("words").over(whole.orderBy("start")))
+    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
     ahead, behind = whole.orderBy("before").rangeBetween(0, min_words - 1), whole.orderBy("upto").rangeBetween(1 - min_words, 0)
-    one = {"n": F.count(F.lit(1)), "units": F.sum("units"), "words": F.sum("words")}
-    rows = rows.select(
-        "doc", "pos", "start", "units", *[f.over(w).alias(f"{side}_{c}") for side, w in (("ahead", ahead), ("behind", behind)) for c, f in one.items()]
-    )
 
-    def run(side: str, pos: Column, start: Column) -> Column:
-        ends = (start + F.col(f"{side}_units")).alias("end")
-        return F.struct(pos.alias("pos"), F.col(f"{side}_n").cast("int").alias("length"), start.alias("start"), ends, F.col(f"{side}_words").alias("words"))
+    def run(over: WindowSpec, a: Column, b: Column) -> Column:
+        one = {"n": F.count(F.lit(1)), "words": F.sum("words"), "start": F.first("start"), "end": F.last(F.col("start") + F.col("units"))}
+        return F.struct(*[f.over(over).alias(c) for c, f in one.items()], a.alias("a"), b.alias("b"))
 
-    both = F.array(
-        run("ahead", F.col("pos"), F.col("start").cast("long")),
-        run("behind", (F.col("pos") - F.col("behind_n") + 1).cast("int"), F.col("start") + F.col("units") - F.col("behind_units")),
+    rows = rows.select(
+        "doc",
+        run(ahead, F.col("ahead"), F.last("behind").over(ahead)).alias("from"),
+        run(behind, F.first("ahead").over(behind), F.col("behind")).alias("to"),
     )
-    return rows.select("doc", F.inline(both)).filter(F.col("words") >= min_words).drop("words").distinct()
+    rows = rows.select("doc", F.inline(F.array("from", "to"))).filter(F.col("words") >= min_words)
+    k = F.floor(F.log2(F.col("n") + 0.5)).cast("int")
+    ends = [F.col(c).cast("long").alias(c) for c in ("start", "end")]
+    return rows.select("doc", *ends, F.col("n").alias("length"), F.get("a", k).alias("a"), F.get("b", k).alias("b")).distinct()
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -361,21 +355,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return materialize(_merged(own), "cuts")
     keyed = materialize(segments(hashes, classes, min_words), "segments")
     release(hashes, classes)
-    level = _named(keyed, ["key"], ["doc", "pos", "start", "units", "words"], "names")
+    runs = materialize(_candidates(run_names(keyed, min_words), min_words), "candidates")
     release(keyed)
-    levels = run_names(level, min_words)
-    names = reduce(DataFrame.unionByName, [one.select("doc", "pos", F.lit(k).alias("k"), "name") for k, one in enumerate(levels)])
-    runs = _candidates(level, min_words).withColumn("k", F.floor(F.log2(F.col("length") + 0.5)).cast("int"))
-    runs = runs.withColumn("second", F.expr("pos + length - shiftleft(1, k)"))
-    runs = runs.join(names.withColumnRenamed("name", "a"), ["doc", "pos", "k"])
-    runs = runs.join(names.select("doc", F.col("pos").alias("second"), "k", F.col("name").alias("b")), ["doc", "second", "k"])
-    runs = materialize(runs.select("doc", "pos", "length", "start", "end", "a", "b"), "candidates")
-    release(*levels)
-    if runs.isEmpty():
-        release(runs)
-        return materialize(_merged(own), "cuts")
-    named = _named(runs, ["a", "b", "length"], ["doc", "pos", "start", "end"], "found")
-    found = named.filter(F.col("name") < F.col("doc") * STRIDE + F.col("pos")).select("doc", "start", "end")
+    named = _named(runs, ["a", "b", "length"], ["doc", "start", "end"], "found")
+    found = named.filter(F.col("name") < F.col("doc") * STRIDE + F.col("start")).select("doc", "start", "end")
     cuts = materialize(_merged(found.unionByName(own)), "cuts")
     release(runs, named, own)
     return cuts
